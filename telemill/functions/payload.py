@@ -40,7 +40,15 @@ def with_json_entries(df: DataFrame, text: Column, name: str = "_entries") -> Da
 
 
 def variant_text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+    """Text of a JSON value; a number with a fraction keeps its decimal point (28.0 is not 28)."""
+    return F.coalesce(fraction(value).cast("string"), F.try_variant_get(value, "$", "string"))
+
+
+def fraction(value: Column) -> Column:
+    """A JSON number written with a fraction or exponent as DOUBLE; null for anything else."""
+    written = F.schema_of_variant(value).rlike(r"^(DECIMAL|FLOAT|DOUBLE)")
+    number = F.when(written, F.try_variant_get(value, "$", "double"))
+    return F.when(F.abs(number) < 1e15, number)
 
 
 def is_number(value: Column) -> Column:
@@ -103,10 +111,15 @@ def with_enriched_payload(df: DataFrame, text: Column, device_type: Column, reco
     }
     blank = F.coalesce(text, F.lit("")).isin("", "{}")
     entries = F.when(blank, F.array().cast(_ENTRIES)).otherwise(F.col("_entries"))
-    kept = F.filter(entries, lambda e: ~e["key"].isin(list(added)))
     new = F.array(*[
         F.struct(F.lit(key).alias("key"), value.cast("variant").alias("value")) for key, value in added.items()])
-    merged = F.to_json(F.map_from_entries(F.concat(kept, new)))
+    # a field that is already there keeps its place and takes the new value
+    updated = F.transform(entries, lambda e: F.coalesce(
+        F.get(F.filter(new, lambda n: n["key"] == e["key"]), F.lit(0)),
+        F.struct(e["key"].alias("key"),
+                 F.coalesce(fraction(e["value"]).cast("variant"), e["value"]).alias("value"))))
+    appended = F.filter(new, lambda n: ~F.exists(entries, lambda e: e["key"] == n["key"]))
+    merged = F.to_json(F.map_from_entries(F.concat(updated, appended)))
     wrapped = F.to_json(F.struct(
         device_type.alias("device_type"),
         source.alias("canonical_source"),

@@ -106,10 +106,17 @@ def _first_match(patterns: tuple[str, ...], test) -> Column:
     return F.coalesce(*[F.when(test(p), F.lit(p)) for p in patterns])
 
 
+# Running count each counting rule needs.
+COUNTED = {
+    "flood_detection": "messages", "topic_enumeration": "topics", "qos_abuse": "qos2", "retain_abuse": "retained",
+}
+
+
 def findings(rules: Rules, inputs: Inputs, counts: dict[str, Column]) -> dict[str, Column]:
     """Description of the alert each rule raises for a row, null for none.
 
-    A row without a topic cannot be checked past the two counting rules.
+    ``counts`` holds the running counts there are; a counting rule without its count is left out. A row
+    without a topic cannot be checked past the first two counting rules.
     """
     topic, size = inputs.topic, inputs.payload_length
     has_topic = topic.isNotNull()
@@ -122,17 +129,20 @@ def findings(rules: Rules, inputs: Inputs, counts: dict[str, Column]) -> dict[st
         _text("Anomalous payload size: ", size, " bytes"))
     system = _first_match(rules["system_topic_access"].patterns, lambda p: F.startswith(topic, F.lit(p)))
     found["system_topic_access"] = F.concat(F.lit("Access to system topic: "), system)
-    if counts:
-        limit = {key: rules[key].threshold for key in DEFAULT_RULES}
+    limit = {key: rules[key].threshold for key in COUNTED}
+    if "messages" in counts:
         found["flood_detection"] = F.when(
             counts["messages"] > limit["flood_detection"],
             F.lit(f"Client exceeded {limit['flood_detection']} messages"))
+    if "topics" in counts:
         found["topic_enumeration"] = F.when(
             counts["topics"] > limit["topic_enumeration"],
             _text("Client accessed ", counts["topics"], " unique topics"))
+    if "qos2" in counts:
         found["qos_abuse"] = F.when(
             has_topic & (counts["qos2"] > limit["qos_abuse"]),
             _text("Excessive QoS 2 usage: ", counts["qos2"], " messages"))
+    if "retained" in counts:
         found["retain_abuse"] = F.when(
             has_topic & inputs.retained & (counts["retained"] > limit["retain_abuse"]),
             _text("Excessive retain messages: ", counts["retained"], ""))
@@ -159,38 +169,44 @@ def raise_alerts(df: DataFrame, rules: Rules, found: dict[str, Column], topic: C
             .select(*ALERT_COLUMNS, *keep))
 
 
-def client_counts(features: DataFrame, order: Order) -> DataFrame:
-    """Add the running counts per client: messages, distinct topics, QoS 2 messages, retained messages."""
+def client_counts(features: DataFrame, order: Order, names: tuple[str, ...] = tuple(COUNTED.values())) -> DataFrame:
+    """Add running counts per client: messages, distinct topics, QoS 2 messages, retained messages."""
     inputs = Inputs.of(features)
     with_topic = features if "topic" in features.columns else features.withColumn("topic", inputs.topic)
-    new_topics = first_occurrences(with_topic, order, "topic", "topics")
-    return running_totals(with_topic, order, {
+    increments = {
         "messages": F.lit(1),
         "topics": F.lit(0),
         "qos2": inputs.is_qos2.cast("int"),
         # rows without a topic are never checked for retention, so they do not count towards it
         "retained": (inputs.retained & inputs.topic.isNotNull()).cast("int"),
-    }, new_topics)
+    }
+    new_topics = first_occurrences(with_topic, order, "topic", "topics") if "topics" in names else None
+    return running_totals(with_topic, order, {n: increments[n] for n in names}, new_topics)
 
 
-def detect(features: DataFrame, rules: Rules | None = None, once_per_client: bool = False,
-           keep: tuple[str, ...] = (), **order_options) -> DataFrame:
-    """All alerts of the cumulative rules, one per row and rule past its threshold.
+def detect(features: DataFrame, rules: Rules | None = None, checks: list[str] | None = None,
+           once_per_client: bool = False, keep: tuple[str, ...] = (), **order_options) -> DataFrame:
+    """Alerts of the cumulative rules, one per row and rule past its threshold.
 
     ``features`` needs ``ts``, ``client_id`` and a unique ``seq``. It is read several times, so hand over a
-    written table rather than a long plan. ``once_per_client`` keeps the first alert per client and rule.
+    written table rather than a long plan. ``checks`` limits the rules, and with them the counting;
+    ``once_per_client`` keeps the first alert per client and rule.
     """
     rules = rules or Rules()
+    checks = checks or CHECK_ORDER
     order = Order(("client_id",), **order_options)
     needed = [c for c in ("ts", "seq", "client_id", "topic", "payload_length", "qos", "retain", "retain_flag", *keep)
               if c in features.columns]
-    counted = client_counts(features.select(*dict.fromkeys(needed)), order)
-    names = ("messages", "topics", "qos2", "retained")
-    inputs = Inputs.of(counted)
-    found = findings(rules, inputs, {n: F.col(n) for n in names})
+    rows = features.select(*dict.fromkeys(needed))
+    counts = tuple(COUNTED[key] for key in checks if key in COUNTED)
+    if counts:
+        rows = client_counts(rows, order, counts)
+    inputs = Inputs.of(rows)
+    found = findings(rules, inputs, {n: F.col(n) for n in counts})
+    found = {key: text for key, text in found.items() if key in checks}
     if not once_per_client:
-        return raise_alerts(counted, rules, found, inputs.topic, keep)
-    placed = raise_alerts(counted.withColumn(AT, order.at), rules, found, inputs.topic,
+        return raise_alerts(rows, rules, found, inputs.topic, keep)
+    placed = raise_alerts(rows.withColumn(AT, order.at), rules, found, inputs.topic,
                           tuple(dict.fromkeys((*keep, AT, order.seq))))
     columns = [c for c in placed.columns if c not in ("client_id", "rule_name")]
     first = F.min_by(F.struct(*columns), F.struct(AT, order.seq)).alias("_first")
@@ -200,13 +216,7 @@ def detect(features: DataFrame, rules: Rules | None = None, once_per_client: boo
 
 def detect_stateless(rows: DataFrame, rules: Rules | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The rules that need no counting; works on streams."""
-    rules = rules or Rules()
-    inputs = Inputs.of(rows)
-    return raise_alerts(rows, rules, findings(rules, inputs, {}), inputs.topic, keep)
-
-
-def only_rule(alerts: DataFrame, rules: Rules, key: str) -> DataFrame:
-    return alerts.where(F.col("rule_name") == rules[key].name)
+    return detect(rows, rules, STATELESS, keep=keep)
 
 
 def client_stats(features: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def match_by_regex(messages: DataFrame, filters: DataFrame, topic: str = "topic"
     both = F.explode(F.array_distinct(F.array(first_level(F.col(topic)), F.lit("+"))))
     return (messages.withColumn("_first", both)
             .join(by_level, "_first")
-            .where(F.col(topic).rlike(F.col("_regex")))
+            .where(F.rlike(F.col(topic), F.col("_regex")))
             .select(*messages.columns, "filter"))
 
 

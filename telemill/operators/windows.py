@@ -80,30 +80,29 @@ def sliding_counts(features: DataFrame, seconds: int, **order_options) -> DataFr
     Every row adds at its own time and takes back when it leaves the window, so the counts are running sums.
     A topic counts once: a row that follows another of its topic within the window takes the overlap back.
     """
+    features = features.where(F.col("ts").isNotNull())
     inputs = Inputs.of(features)
     keep = features.columns
     order = Order(("client_id",), **order_options)
     measures = {
         "messages": F.lit(1), "qos2": inputs.is_qos2.cast("int"), "retained": inputs.retained.cast("int"),
     }
-    flat = features.select("client_id", "topic", "ts", "seq", *[c.alias(n) for n, c in measures.items()]).where(
-        F.col("ts").isNotNull())
+    flat = features.select("client_id", "topic", "ts", "seq", *[c.alias(n) for n, c in measures.items()])
     topical = previous_ts(flat, Order(("client_id", "topic"), **order_options), "_before")
     leaves = F.timestamp_micros(F.unix_micros("ts") + seconds * 1_000_000 + 1)
     repeated = F.unix_micros("ts") - F.unix_micros("_before") <= seconds * 1_000_000
     overlap_ends = F.timestamp_micros(F.unix_micros("_before") + seconds * 1_000_000 + 1)
 
-    def change(at: Column, seq: Column, topics: int, sign: int, when: Column | None = None) -> Column:
-        counts = {n: F.col(n) * sign for n in measures} if when is None else {n: F.lit(0) for n in measures}
-        entry = F.struct(at.alias("ts"), seq.alias("seq"), F.lit(topics).alias("topics"),
-                         *[c.cast("int").alias(n) for n, c in counts.items()])
-        return entry if when is None else F.when(when, entry)
-
     before_instant = F.lit(None).cast(dict(flat.dtypes)["seq"])
+
+    def entry(at: Column, seq: Column, topics: int, sign: int) -> Column:
+        return F.struct(at.alias("ts"), seq.alias("seq"), F.lit(topics).alias("topics"),
+                        *[(F.col(n) * sign).cast("int").alias(n) for n in measures])
+
     changes = F.array_compact(F.array(
-        change(leaves, before_instant, -1, -1),
-        change(F.col("ts"), F.col("seq"), -1, 0, repeated),
-        change(overlap_ends, before_instant, 1, 0, repeated)))
+        entry(leaves, before_instant, -1, -1),
+        F.when(repeated, entry(F.col("ts"), F.col("seq"), -1, 0)),
+        F.when(repeated, entry(overlap_ends, before_instant, 1, 0))))
     markers = topical.select("client_id", F.inline(changes))
     return running_totals(features, order, {**measures, "topics": F.lit(1)}, markers).select(
         *keep, "messages", "topics", "qos2", "retained")
@@ -114,10 +113,9 @@ def detect_sliding(features: DataFrame, rules: Rules | None = None, **order_opti
     rules = rules or Rules()
     columns = {"flood_detection": "messages", "topic_enumeration": "topics", "qos_abuse": "qos2",
                "retain_abuse": "retained"}
-    timed = features.where(F.col("ts").isNotNull())
     parts = []
     for seconds, keys in _by_window(rules, columns).items():
-        counted = sliding_counts(timed, seconds, **order_options).withColumn(
+        counted = sliding_counts(features, seconds, **order_options).withColumn(
             "_window", F.struct(F.col("ts").alias("start")))
         parts.append(_alerts(counted, rules, keys).withColumnRenamed("window_start", "ts"))
     out = parts[0]
