@@ -136,7 +136,7 @@ WINDOW_RULES = Rules().override(
     topic_enumeration={"threshold": 4, "window_seconds": 3600},
     qos_abuse={"threshold": 6, "window_seconds": 43200},
     retain_abuse={"threshold": 6, "window_seconds": 43200},
-    reconnect_storm={"threshold": 2, "window_seconds": 3600},
+    reconnect_storm={"threshold": 1, "window_seconds": 3600},
     duplicate_client={"threshold": 1, "window_seconds": 3600},
 )
 WINDOW_SQL = {
@@ -144,7 +144,7 @@ WINDOW_SQL = {
     "topic_enumeration": (3600, 4, "count(DISTINCT coalesce(topic, '-'))"),
     "qos_abuse": (43200, 6, "count(*) FILTER (qos = 2)"),
     "retain_abuse": (43200, 6, "count(*) FILTER (retain = 1)"),
-    "reconnect_storm": (3600, 2, "count(*) FILTER (packet_type = 'CONNECT')"),
+    "reconnect_storm": (3600, 1, "count(*) FILTER (packet_type = 'CONNECT')"),
     "duplicate_client": (3600, 1, "count(DISTINCT src_ip)"),
 }
 WINDOW_NAMES = {key: (r.name, r.severity, r.action, r.blocked) for key, r in WINDOW_RULES.table.items()}
@@ -227,7 +227,7 @@ def append_traffic_log(t: Tables) -> DataFrame:
 
 
 @query("message_stream", """
-    SELECT coalesce(topic, 'lost') AS topic, qos, count(*) AS messages, sum(length(payload)) AS bytes
+    SELECT coalesce(topic, 'lost') AS topic, qos, count(*) AS messages, CAST(sum(length(payload)) AS BIGINT) AS bytes
     FROM traffic GROUP BY ALL""", "traffic")
 def message_stream(t: Tables) -> DataFrame:
     """Messages written as files in MESSAGE_SCHEMA, taken in by the source and counted."""
