@@ -69,9 +69,9 @@ class Rules:
                   "patterns ARRAY<STRING>, max_size INT, min_size INT")
 
 
-def _or_default(df: DataFrame, names: tuple[str, ...], default) -> Column:
+def _or_default(present: list[str], names: tuple[str, ...], default) -> Column:
     for name in names:
-        if name in df.columns:
+        if name in present:
             return F.col(name)
     return F.lit(default)
 
@@ -87,11 +87,15 @@ class Inputs:
 
     @classmethod
     def of(cls, df: DataFrame) -> "Inputs":
+        return cls.among(df.columns)
+
+    @classmethod
+    def among(cls, present: list[str]) -> "Inputs":
         return cls(
-            topic=_or_default(df, ("topic",), ""),
-            payload_length=_or_default(df, ("payload_length",), 0).cast("bigint"),
-            qos=_or_default(df, ("qos",), 0),
-            retained=F.coalesce(_or_default(df, ("retain", "retain_flag"), 0).cast("int") != 0, F.lit(False)))
+            topic=_or_default(present, ("topic",), ""),
+            payload_length=_or_default(present, ("payload_length",), 0).cast("bigint"),
+            qos=_or_default(present, ("qos",), 0),
+            retained=F.coalesce(_or_default(present, ("retain", "retain_flag"), 0).cast("int") != 0, F.lit(False)))
 
     @property
     def is_qos2(self) -> Column:
@@ -171,8 +175,9 @@ def raise_alerts(df: DataFrame, rules: Rules, found: dict[str, Column], topic: C
 
 def client_counts(features: DataFrame, order: Order, names: tuple[str, ...] = tuple(COUNTED.values())) -> DataFrame:
     """Add running counts per client: messages, distinct topics, QoS 2 messages, retained messages."""
-    inputs = Inputs.of(features)
-    with_topic = features if "topic" in features.columns else features.withColumn("topic", inputs.topic)
+    present = features.columns
+    inputs = Inputs.among(present)
+    with_topic = features if "topic" in present else features.withColumn("topic", inputs.topic)
     increments = {
         "messages": F.lit(1),
         "topics": F.lit(0),
@@ -195,13 +200,14 @@ def detect(features: DataFrame, rules: Rules | None = None, checks: list[str] |
     rules = rules or Rules()
     checks = checks or CHECK_ORDER
     order = Order(("client_id",), **order_options)
-    needed = [c for c in ("ts", "seq", "client_id", "topic", "payload_length", "qos", "retain", "retain_flag", *keep)
-              if c in features.columns]
-    rows = features.select(*dict.fromkeys(needed))
+    present = set(features.columns)
+    read = ("ts", "seq", "client_id", "topic", "payload_length", "qos", "retain", "retain_flag", *keep)
+    needed = [c for c in dict.fromkeys(read) if c in present]
+    rows = features.select(*needed)
+    inputs = Inputs.among(needed)
     counts = tuple(COUNTED[key] for key in checks if key in COUNTED)
     if counts:
         rows = client_counts(rows, order, counts)
-    inputs = Inputs.of(rows)
     found = findings(rules, inputs, {n: F.col(n) for n in counts})
     found = {key: text for key, text in found.items() if key in checks}
     if not once_per_client:

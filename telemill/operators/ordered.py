@@ -68,11 +68,11 @@ def _join_small(rows: DataFrame, small: DataFrame, names: list[str], how: str) -
     """Broadcast join on null-safe keys; ``small`` is bounded by MOST_SPLITS."""
     renamed = small.withColumnsRenamed({n: f"_of_{n}" for n in names})
     same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in names])
-    return rows.join(F.broadcast(renamed), same, how).drop(*[f"_of_{n}" for n in names])
+    return rows.join(F.broadcast(renamed), same, how)
 
 
 def _with_bucket(df: DataFrame, order: Order) -> DataFrame:
-    return df.withColumn(AT, order.at).withColumn(BUCKET, order.bucket)
+    return df.withColumns({AT: order.at, BUCKET: order.bucket})
 
 
 def split_points(df: DataFrame, order: Order) -> DataFrame:
@@ -87,8 +87,8 @@ def split_points(df: DataFrame, order: Order) -> DataFrame:
     limit = F.greatest(F.lit(order.max_rows), F.ceil(total / MOST_SPLITS))
     hot = (rows.groupBy(*group).agg(F.count("*").alias("_rows"))
            .where(F.col("_rows") > limit)
-           .withColumn("_parts", F.least(F.lit(MOST_PARTS), F.ceil(F.col("_rows") / limit)))
-           .withColumn("_stride", F.greatest(F.lit(1), F.floor(F.col("_rows") / SAMPLE_ROWS))))
+           .withColumns({"_parts": F.least(F.lit(MOST_PARTS), F.ceil(F.col("_rows") / limit)),
+                         "_stride": F.greatest(F.lit(1), F.floor(F.col("_rows") / SAMPLE_ROWS))}))
     sample = (_join_small(rows, hot, group, "inner")
               .where(F.pmod(F.xxhash64(order.seq), F.col("_stride")) == 0))
     in_group = Window.partitionBy(*group)
@@ -96,7 +96,7 @@ def split_points(df: DataFrame, order: Order) -> DataFrame:
     size = F.count("*").over(in_group)
     step = F.floor(F.col("_rank") * F.col("_parts") / F.col("_size"))
     step_before = F.floor((F.col("_rank") - 1) * F.col("_parts") / F.col("_size"))
-    return (sample.withColumn("_rank", rank).withColumn("_size", size)
+    return (sample.withColumns({"_rank": rank, "_size": size})
             .where((step > step_before) & (F.col("_rank") < F.col("_size")))
             .groupBy(*group)
             .agg(F.sort_array(F.collect_list(F.struct(AT, order.seq))).alias("_points")))
@@ -113,14 +113,13 @@ def with_slices(df: DataFrame, order: Order, points: DataFrame) -> DataFrame:
     passed = F.when(F.col("_points").isNotNull(), F.aggregate(
         steps, F.lit(0),
         lambda n, step: F.when(F.get("_points", n + step - 1) <= here, n + step).otherwise(n)))
-    return (_join_small(rows, points, [*order.keys, BUCKET], "left")
-            .withColumn(PART, F.coalesce(passed, F.lit(0)))
-            .drop("_points"))
+    return _join_small(rows, points, [*order.keys, BUCKET], "left").select(
+        *rows.columns, F.coalesce(passed, F.lit(0)).alias(PART))
 
 
 def with_seeds(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     """Rows plus one leading seed row per slice, told apart by ``_kind``."""
-    seeds = seeds.withColumn(AT, F.lit(FIRST)).withColumn(KIND, F.lit(SEED))
+    seeds = seeds.withColumns({AT: F.lit(FIRST), KIND: F.lit(SEED)})
     return rows.unionByName(seeds, allowMissingColumns=True)
 
 
@@ -136,15 +135,16 @@ def running_totals(
     additions (keys, ts, seq and any of the output columns) that take effect at their place in the order: just
     before the row with the same ``seq``, or before all rows of that instant where ``seq`` is null.
     """
-    names = list(dict.fromkeys([*increments, *(set(markers.columns) - {*order.keys, order.ts, order.seq}
-                                               if markers is not None else [])]))
+    marked = [] if markers is None else [c for c in markers.columns if c not in (*order.keys, order.ts, order.seq)]
+    names = list(dict.fromkeys([*increments, *marked]))
     zero = F.lit(0).cast("bigint")
-    rows = df.withColumns({n: increments.get(n, zero).cast("bigint") for n in names}).withColumn(KIND, F.lit(ROW))
+    kept = df.columns
+    rows = df.withColumns({**{n: increments.get(n, zero).cast("bigint") for n in names}, KIND: F.lit(ROW)})
     if markers is not None:
-        added = {n: (F.col(n).cast("bigint") if n in markers.columns else zero) for n in names}
+        added = {n: (F.col(n).cast("bigint") if n in marked else zero) for n in names}
         rows = rows.unionByName(
-            markers.select(*order.keys, order.ts, order.seq, *[c.alias(n) for n, c in added.items()])
-            .withColumn(KIND, F.lit(MARKER)), allowMissingColumns=True)
+            markers.select(*order.keys, order.ts, order.seq, *[c.alias(n) for n, c in added.items()],
+                           F.lit(MARKER).alias(KIND)), allowMissingColumns=True)
     sliced = with_slices(rows, order, split_points(df, order))
     totals = sliced.groupBy(*order.slice_columns).agg(*[F.sum(n).alias(n) for n in names])
     before = {n: F.coalesce(F.sum(n).over(order.earlier_slices()), zero) for n in names}
@@ -152,7 +152,7 @@ def running_totals(
     so_far = order.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (seeded.withColumns({n: F.sum(n).over(so_far) for n in names})
             .where(F.col(KIND) == ROW)
-            .select(*df.columns, *names))
+            .select(*kept, *names))
 
 
 def first_occurrences(df: DataFrame, order: Order, column: str, name: str) -> DataFrame:
