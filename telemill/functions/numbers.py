@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from telemill.functions.text import strip
+from telemill.functions.text import matched
 
-# Plain decimal notation only: a bare cast would also accept type suffixes such as 1.5d.
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Plain decimal notation only: a bare cast would also accept type suffixes such as 1.5d, and fail slowly on
+# other text. Digits and exponent are bounded so that every match is a finite number.
+NUMBER = r"^\s*([+-]?(?:\d{1,200}\.?\d*|\.\d+)(?:[eE][+-]?\d{1,2})?)\s*$"
+WHOLE = r"^\s*([+-]?\d{1,19})(?:\.0*)?\s*$"
+WITH_EXPONENT = r"^\s*([+-]?(?:\d{1,200}\.?\d*|\.\d+)[eE][+-]?\d{1,2})\s*$"
+
+
+def number_text(value: Column) -> Column:
+    """The number a text consists of, as text; null for anything else."""
+    return matched(value.cast("string"), NUMBER, 1)
 
 
 def to_number(value: Column) -> Column:
-    """Text to DOUBLE; anything that is not a plain finite number gives null."""
-    text = strip(value.cast("string"))
-    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    """Text to DOUBLE; anything that is not a plain number gives null."""
+    return number_text(value).try_cast("double")
 
 
 def to_whole_number(value: Column) -> Column:
-    """Text to BIGINT; fractional or malformed text gives null."""
-    number = to_number(value)
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    """Text to BIGINT; fractional, oversized or malformed text gives null."""
+    text = value.cast("string")
+    scientific = matched(text, WITH_EXPONENT, 1).try_cast("double")
+    return F.coalesce(
+        matched(text, WHOLE, 1).try_cast("bigint"),
+        F.when(scientific == F.floor(scientific), scientific.try_cast("bigint")))
 
 
 def numeric_field(value: Column | None, default: int | None = 0) -> Column:

@@ -1,4 +1,8 @@
-"""Text clean-up, hex payloads and byte decoding."""
+"""Text clean-up, hex payloads and byte decoding.
+
+The expressions are written so that each input is evaluated once on the common path: a test and its result come
+from one ``matched`` call instead of a condition that repeats the value.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +15,17 @@ from telemill.schemas import TRUE_WORDS
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 SAMPLE_LIMIT = 120
 
-_REPLACEMENT = "\ufffd"
-_STAND_IN = "\ufdd0"  # Unicode noncharacter, never used for text
+_REPLACEMENT = "�"
+_STAND_IN = "﷐"  # Unicode noncharacter, never used for text
+
+
+def matched(text: Column, pattern: str, group: int = 0) -> Column:
+    """The first match of a pattern (or one of its groups), null when there is none."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
+def not_empty(text: Column) -> Column:
+    return matched(text, "(?s)^.+$")
 
 
 def strip(text: Column) -> Column:
@@ -33,19 +46,19 @@ def bool_flag(value: Column | None) -> Column:
     return word.isin(TRUE_WORDS).cast("bigint")
 
 
-def sanitize_text(text: Column, limit: int = SAMPLE_LIMIT) -> Column:
-    """Keep printable ASCII, collapse runs of spaces, trim, then cut to ``limit``."""
-    printable = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20-\x7E]+", "")
+def _readable(text: Column, limit: int) -> Column:
+    printable = F.regexp_replace(text, r"[^\x20-\x7E]+", "")
     return F.substring(F.trim(F.regexp_replace(printable, " {2,}", " ")), 1, limit)
 
 
-def hex_digits(text: Column) -> Column:
-    """The text without colons and blanks, as hex digits may be written."""
-    return F.translate(strip(text), ": ", "")
+def sanitize_text(text: Column, limit: int = SAMPLE_LIMIT) -> Column:
+    """Keep printable ASCII, collapse runs of spaces, trim, then cut to ``limit``."""
+    return _readable(F.coalesce(text, F.lit("")), limit)
 
 
-def is_hex(digits: Column) -> Column:
-    return digits.rlike("^[0-9a-fA-F]+$")
+def hex_digits(text: Column) -> Column:
+    """The digits of a hex payload, which may be set apart by colons and blanks; null for other text."""
+    return matched(F.translate(strip(text), ": ", ""), "^[0-9a-fA-F]+$")
 
 
 def decode_hex_payload(text: Column, limit: int = SAMPLE_LIMIT) -> Column:
@@ -54,21 +67,15 @@ def decode_hex_payload(text: Column, limit: int = SAMPLE_LIMIT) -> Column:
     Only printable ASCII survives sanitising, and a UTF-8 decoder that skips bad bytes never
     swallows an ASCII byte, so a Latin-1 decode gives the same result and cannot fail.
     """
-    text = F.coalesce(text, F.lit(""))
-    digits = hex_digits(text)
-    raw = F.unhex(digits)
-    readable = sanitize_text(F.decode(raw, "ISO-8859-1"), limit)
+    raw = F.unhex(hex_digits(text))
+    readable = not_empty(_readable(F.decode(raw, "ISO-8859-1"), limit))
     as_hex = F.lower(F.hex(F.substring(raw, 1, limit)))
-    return F.when(is_hex(digits), F.coalesce(F.nullif(readable, F.lit("")), as_hex)).otherwise(
-        sanitize_text(strip(text), limit))
+    return F.coalesce(readable, as_hex, sanitize_text(strip(text), limit))
 
 
 def hex_length(text: Column) -> Column:
     """Byte count of a hex payload (odd length rounds down), else the text length."""
-    text = F.coalesce(text, F.lit(""))
-    digits = hex_digits(text)
-    return F.when(is_hex(digits), F.floor(F.length(digits) / 2)).otherwise(
-        F.length(strip(text))).cast("bigint")
+    return F.coalesce(F.floor(F.length(hex_digits(text)) / 2), F.length(strip(text)), F.lit(0)).cast("bigint")
 
 
 def decode_payload(payload: Column) -> Column:

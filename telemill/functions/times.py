@@ -5,35 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from telemill.functions.numbers import to_number
-from telemill.functions.text import strip
-
-# Epoch seconds outside the 64-bit nanosecond range are not dates.
-EPOCH_LIMIT = 9223372036.0
-
-# Spellings tried after ISO 8601.
-OTHER_FORMATS = [
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy",
-    "yyyy/M/d H:mm:ss",
-    "MMM d, yyyy H:mm:ss.SSSSSSSSS z",
-    "MMM d, yyyy H:mm:ss",
-    "d MMM yyyy H:mm:ss z",
-]
+from telemill.functions.numbers import number_text
+from telemill.functions.text import matched, strip
+
+# Spellings tried after ISO 8601, each for texts that begin like it.
+OTHER_FORMATS = {
+    r"^\d{1,2}/\d{1,2}/\d{4}.*$": ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy"],
+    r"^\d{4}/.*$": ["yyyy/M/d H:mm:ss"],
+    r"^[A-Z][a-z]{2} .*$": ["MMM d, yyyy H:mm:ss.SSSSSSSSS z", "MMM d, yyyy H:mm:ss"],
+    r"^\d{1,2} [A-Z][a-z]{2} .*$": ["d MMM yyyy H:mm:ss z"],
+}
 
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
+def epoch_ts(value: Column) -> Column:
+    """Epoch seconds as text to a timestamp, exact to the microsecond.
+
+    Seconds whose nanoseconds do not fit 64 bits are no dates: the product overflows to null.
+    """
+    micros = (number_text(value).try_cast("decimal(16,6)") * 1_000_000).try_cast("bigint")
+    nanos = F.try_multiply(micros, F.lit(1000).cast("bigint"))
+    return F.timestamp_micros(F.call_function("div", nanos, F.lit(1000)))
+
+
 def parse_ts(value: Column) -> Column:
     """Epoch seconds or a date string (UTC unless it names a zone); otherwise null."""
-    text = strip(value.cast("string"))
-    seconds = to_number(text)
-    epoch = F.when(F.abs(seconds) < EPOCH_LIMIT,
-                   F.timestamp_micros(F.round(seconds * 1000000).try_cast("bigint")))
-    spelled = [F.try_to_timestamp(text)]
-    spelled += [F.try_to_timestamp(text, F.lit(f)) for f in OTHER_FORMATS]
-    return F.when(seconds.isNotNull(), epoch).otherwise(F.coalesce(*spelled))
+    text = value.cast("string")
+    spelled = [F.try_to_timestamp(strip(text))]
+    for beginning, formats in OTHER_FORMATS.items():
+        alike = matched(strip(text), beginning)
+        spelled += [F.try_to_timestamp(alike, F.lit(f)) for f in formats]
+    return F.coalesce(epoch_ts(text), *spelled)
 
 
 def format_ts(ts: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions.numbers import numeric_field, to_number
 from telemill.functions.text import (
-    bool_flag, decode_hex_payload, hex_length, is_hex, sanitize_text, string_field, strip,
+    bool_flag, decode_hex_payload, hex_length, not_empty, sanitize_text, string_field,
 )
 from telemill.functions.times import format_ts, parse_ts
 from telemill.schemas import (
@@ -91,7 +91,7 @@ def payload_sample(fields: RawFields) -> Column:
         value = fields.column(name)
         if value is not None:
             clean = decode_hex_payload if hex_encoded else sanitize_text
-            readable.append(F.nullif(clean(value.cast("string")), F.lit("")))
+            readable.append(not_empty(clean(value.cast("string"))))
     return F.coalesce(*readable, F.lit(""))
 
 
@@ -100,25 +100,20 @@ def packet_type(value: Column | None) -> Column:
     if value is None:
         return F.lit("UNKNOWN")
     text = string_field(value)
-    number = to_number(text)
-    names = F.array(*[F.lit(name) for name in PACKET_NAMES])
-    in_table = (number >= 1) & (number <= len(PACKET_NAMES)) & (number == F.floor(number))
-    return F.coalesce(
-        F.when(in_table, F.try_element_at(names, number.try_cast("int"))),
-        F.nullif(F.upper(text), F.lit("")),
-        F.lit("UNKNOWN"))
+    names = F.create_map(*[F.lit(item) for n, name in enumerate(PACKET_NAMES, 1) for item in (float(n), name)])
+    return F.coalesce(F.try_element_at(names, to_number(text)), not_empty(F.upper(text)), F.lit("UNKNOWN"))
 
 
 def client_id(fields: RawFields) -> Column:
     """Client, else source address, else ``unknown``."""
     return F.coalesce(
-        F.nullif(string_field(fields.pick("client_id")), F.lit("")),
-        F.nullif(string_field(fields.pick("src_ip")), F.lit("")),
+        not_empty(string_field(fields.pick("client_id"))),
+        not_empty(string_field(fields.pick("src_ip"))),
         F.lit("unknown"))
 
 
 def label(value: Column | None) -> Column:
-    return F.coalesce(F.nullif(string_field(value), F.lit("")), F.lit("unknown"))
+    return F.coalesce(not_empty(string_field(value)), F.lit("unknown"))
 
 
 def canonical_projection(fields: RawFields) -> dict[str, Column]:
@@ -164,8 +159,3 @@ def canonicalize_files(frames: list[DataFrame], protocols: list[str] | None = No
         raise ValueError("no input tables")
     return reduce(DataFrame.unionByName, [canonicalize(frame, protocols) for frame in frames])
 
-
-__all__ = [
-    "RawFields", "allowed_protocols", "canonicalize", "canonicalize_files", "client_id", "is_hex", "label",
-    "normalize_headers", "packet_type", "payload_length", "payload_sample", "protocol", "strip",
-]

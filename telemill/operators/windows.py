@@ -74,11 +74,11 @@ def detect_windowed(features: DataFrame, rules: Rules | None = None) -> DataFram
     return out
 
 
-def sliding_counts(features: DataFrame, seconds: int, **order_options) -> DataFrame:
+def sliding_counts(features: DataFrame, seconds: int, distinct_topics: bool = True, **order_options) -> DataFrame:
     """Add messages, topics, QoS 2 and retained messages of the client in the ``seconds`` up to each row.
 
     Every row adds at its own time and takes back when it leaves the window, so the counts are running sums.
-    A topic counts once: a row that follows another of its topic within the window takes the overlap back.
+    A topic counts once (if asked for): a row that follows another of its topic within the window takes the overlap back.
     """
     features = features.where(F.col("ts").isNotNull())
     inputs = Inputs.of(features)
@@ -88,7 +88,6 @@ def sliding_counts(features: DataFrame, seconds: int, **order_options) -> DataFr
         "messages": F.lit(1), "qos2": inputs.is_qos2.cast("int"), "retained": inputs.retained.cast("int"),
     }
     flat = features.select("client_id", "topic", "ts", "seq", *[c.alias(n) for n, c in measures.items()])
-    topical = previous_ts(flat, Order(("client_id", "topic"), **order_options), "_before")
     leaves = F.timestamp_micros(F.unix_micros("ts") + seconds * 1_000_000 + 1)
     repeated = F.unix_micros("ts") - F.unix_micros("_before") <= seconds * 1_000_000
     overlap_ends = F.timestamp_micros(F.unix_micros("_before") + seconds * 1_000_000 + 1)
@@ -99,13 +98,15 @@ def sliding_counts(features: DataFrame, seconds: int, **order_options) -> DataFr
         return F.struct(at.alias("ts"), seq.alias("seq"), F.lit(topics).alias("topics"),
                         *[(F.col(n) * sign).cast("int").alias(n) for n in measures])
 
-    changes = F.array_compact(F.array(
-        entry(leaves, before_instant, -1, -1),
-        F.when(repeated, entry(F.col("ts"), F.col("seq"), -1, 0)),
-        F.when(repeated, entry(overlap_ends, before_instant, 1, 0))))
-    markers = topical.select("client_id", F.inline(changes))
-    return running_totals(features, order, {**measures, "topics": F.lit(1)}, markers).select(
-        *keep, "messages", "topics", "qos2", "retained")
+    changes = [entry(leaves, before_instant, -1, -1)]
+    if distinct_topics:
+        flat = previous_ts(flat, Order(("client_id", "topic"), **order_options), "_before")
+        changes += [F.when(repeated, entry(F.col("ts"), F.col("seq"), -1, 0)),
+                    F.when(repeated, entry(overlap_ends, before_instant, 1, 0))]
+    markers = flat.select("client_id", F.inline(F.array_compact(F.array(*changes))))
+    counted = running_totals(features, order, {**measures, "topics": F.lit(1)}, markers)
+    names = ["messages", "topics", "qos2", "retained"] if distinct_topics else ["messages", "qos2", "retained"]
+    return counted.select(*keep, *names)
 
 
 def detect_sliding(features: DataFrame, rules: Rules | None = None, **order_options) -> DataFrame:
@@ -115,7 +116,7 @@ def detect_sliding(features: DataFrame, rules: Rules | None = None, **order_opti
                "retain_abuse": "retained"}
     parts = []
     for seconds, keys in _by_window(rules, columns).items():
-        counted = sliding_counts(features, seconds, **order_options).withColumn(
+        counted = sliding_counts(features, seconds, "topics" in keys.values(), **order_options).withColumn(
             "_window", F.struct(F.col("ts").alias("start")))
         parts.append(_alerts(counted, rules, keys).withColumnRenamed("window_start", "ts"))
     out = parts[0]

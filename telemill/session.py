@@ -13,6 +13,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # HotSpot does not compile methods above this size; wide projections run faster split into small ones
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
