@@ -22,10 +22,12 @@ SEED, MARKER, ROW = -1, 0, 1
 
 FIRST, LAST = -(2 ** 63), 2 ** 63 - 1
 
-# No more than this many slices are made by splitting, over all keys; it bounds the broadcast split points.
-MOST_SPLITS = 16384
-MOST_PARTS = 512
-SAMPLE_ROWS = 8192
+# Splitting makes at most twice this many slices over all keys, whatever the input: it bounds the broadcast split
+# points to a few megabytes.
+MOST_SPLITS = 131072
+# Slices per key and bucket, a power of two, and the rows sampled to place them.
+MOST_PARTS = 4096
+SAMPLE_ROWS = 32768
 
 
 @dataclass(frozen=True)
@@ -79,7 +81,7 @@ def split_points(df: DataFrame, order: Order) -> DataFrame:
     """(keys, bucket) -> ordered split points, for buckets that are too large for one slice.
 
     Bounded for any input: only buckets with more than 1/MOST_SPLITS of all rows qualify, and each gets
-    no more points than its share.
+    no more points than its share. Splitting changes how the work is spread, never the result.
     """
     group = [*order.keys, BUCKET]
     rows = _with_bucket(df, order).select(*group, AT, order.seq)

@@ -26,30 +26,24 @@ def _alerts(counted: DataFrame, rules: Rules, keys: dict[str, str]) -> DataFrame
             .select(*WINDOW_COLUMNS))
 
 
-def _windowed(df: DataFrame, seconds: int):
-    return df.groupBy("client_id", F.window("ts", f"{seconds} seconds").alias("_window"))
-
-
-def _distinct_topics(streaming: bool) -> Column:
-    topic = F.struct("topic")
-    return F.size(F.collect_set(topic)).cast("bigint") if streaming else F.count_distinct(topic)
+def _windowed(df: DataFrame, seconds: int, *more: str):
+    return df.groupBy("client_id", F.window("ts", f"{seconds} seconds").alias("_window"), *more)
 
 
 def windowed_counts(features: DataFrame, seconds: int, distinct_topics: bool = True) -> DataFrame:
     """Messages, topics, QoS 2 and retained messages per client and tumbling window.
 
-    A stream cannot count distinct values exactly by aggregate, so there a set per window is kept; in batch
-    Spark counts distinct topics in two combinable steps.
+    Topics are counted by a second aggregation over one row per client, window and topic. Both steps combine
+    before the shuffle and keep plain counts, in batch as on a stream, so no set of topics is ever held.
     """
     inputs = Inputs.of(features)
-    measures = [
-        F.count("*").alias("messages"),
-        F.count_if(inputs.is_qos2).alias("qos2"),
-        F.count_if(inputs.retained).alias("retained"),
-    ]
-    if distinct_topics:
-        measures.append(_distinct_topics(features.isStreaming).alias("topics"))
-    return _windowed(features, seconds).agg(*measures)
+    measures = {
+        "messages": F.count("*"), "qos2": F.count_if(inputs.is_qos2), "retained": F.count_if(inputs.retained)}
+    if not distinct_topics:
+        return _windowed(features, seconds).agg(*[m.alias(n) for n, m in measures.items()])
+    per_topic = _windowed(features, seconds, "topic").agg(*[m.alias(n) for n, m in measures.items()])
+    return per_topic.groupBy("client_id", "_window").agg(
+        *[F.sum(n).alias(n) for n in measures], F.count("*").alias("topics"))
 
 
 def _by_window(rules: Rules, columns: dict[str, str]) -> dict[int, dict[str, str]]:
@@ -139,7 +133,6 @@ def duplicate_client(canonical: DataFrame, rules: Rules | None = None) -> DataFr
     rules = rules or Rules()
     rule = rules["duplicate_client"]
     known = canonical.where(F.coalesce(F.col("src_ip"), F.lit("")) != "")
-    addresses = (F.size(F.collect_set("src_ip")).cast("bigint") if canonical.isStreaming
-                 else F.count_distinct("src_ip"))
-    counted = _windowed(known, rule.window_seconds).agg(addresses.alias("addresses"))
+    per_address = _windowed(known, rule.window_seconds, "src_ip").agg(F.count("*").alias("messages"))
+    counted = per_address.groupBy("client_id", "_window").agg(F.count("*").alias("addresses"))
     return _alerts(counted, rules, {"duplicate_client": "addresses"})

@@ -1,7 +1,7 @@
 """Detection as a stream.
 
-Row rules need no state. Window rules keep one group per client and window until the watermark passes it.
-A window's topics are kept as a set, so their state is as large as what one client touches in one window.
+Row rules need no state. Window rules keep counts per client and window until the watermark passes it; distinct
+topics and addresses are counted over a first aggregation per topic or address, so no set is kept as one value.
 Cumulative counts have no end and are left to batch runs.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from telemill.operators.detection import Rules, detect_stateless
-from telemill.operators.windows import duplicate_client, reconnect_storm, detect_windowed
+from telemill.operators.windows import detect_windowed, duplicate_client, reconnect_storm
 
 
 def row_alerts(rows: DataFrame, rules: Rules | None = None) -> DataFrame:
