@@ -1,12 +1,13 @@
 """Running values per key over a total order, safe for keys that hold a large share of all rows.
 
-``Window.partitionBy(key)`` sorts all rows of a key in one task. Here a key's rows are cut into *slices*
-that follow the order: first by time bucket, and where one bucket of one key is still too large, at split
-points taken from a sample of its rows. Slices are the unit of the shuffle and of the window; what a slice
-needs to know about the slices before it (a count so far, a last timestamp) arrives as one *seed* row that
-sorts first. Seeds come from per-slice aggregates, which Spark combines before the shuffle.
-
-A slice is a function of the row alone, so a recomputed task reproduces it.
+``Window.partitionBy(key)`` sorts all rows of a key in one task. That is fine for most keys; the rows of a key with
+more than ``max_rows`` are cut into *slices* that follow the order, at split points taken from a sample of the key's
+rows. Slices are the unit of the shuffle and of the window. What a slice needs to know about the slices before it
+(a count so far, a last timestamp) arrives as one *seed* row that sorts first; seeds come from per-slice aggregates,
+which Spark combines before the shuffle. Keys that are not cut need neither.
+
+A slice is a function of the row alone, so a recomputed task reproduces it. Splitting changes how the work is
+spread, never the result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-AT, BUCKET, PART, KIND = "_at", "_bucket", "_part", "_kind"
+AT, PART, KIND = "_at", "_part", "_kind"
 SEED, MARKER, ROW = -1, 0, 1
 
 FIRST, LAST = -(2 ** 63), 2 ** 63 - 1
@@ -25,97 +26,84 @@ FIRST, LAST = -(2 ** 63), 2 ** 63 - 1
 # Splitting makes at most twice this many slices over all keys, whatever the input: it bounds the broadcast split
 # points to a few megabytes.
 MOST_SPLITS = 131072
-# Slices per key and bucket, a power of two, and the rows sampled to place them.
-MOST_PARTS = 4096
-SAMPLE_ROWS = 32768
+# Slices per key, a power of two, and the rows sampled to place each split point.
+MOST_PARTS = 65536
+SAMPLES_PER_PART = 16
 
 
 @dataclass(frozen=True)
 class Order:
     """Total order of rows within a key: ``ts`` with nulls last, then the unique ``seq``.
 
-    ``bucket_seconds`` is the width of a time bucket; a bucket of one key with more than ``max_rows`` rows is
-    split further.
+    A key with more than ``max_rows`` rows is cut into slices of about that size.
     """
 
     keys: tuple[str, ...]
     ts: str = "ts"
     seq: str = "seq"
-    bucket_seconds: int = 3600
     max_rows: int = 1_000_000
 
     @property
     def at(self) -> Column:
         return F.coalesce(F.unix_micros(F.col(self.ts)), F.lit(LAST))
 
-    @property
-    def bucket(self) -> Column:
-        micros = F.unix_micros(F.col(self.ts))
-        return F.coalesce(F.floor(micros / (self.bucket_seconds * 1_000_000)).cast("bigint"), F.lit(LAST))
-
     @property
     def slice_columns(self) -> list[str]:
-        return [*self.keys, BUCKET, PART]
+        return [*self.keys, PART]
 
     def window(self) -> WindowSpec:
         """One slice in order: its seed, then markers and rows."""
         return Window.partitionBy(*self.slice_columns).orderBy(AT, self.seq, KIND)
 
     def earlier_slices(self) -> WindowSpec:
-        return (Window.partitionBy(*self.keys).orderBy(BUCKET, PART)
-                .rowsBetween(Window.unboundedPreceding, -1))
+        return Window.partitionBy(*self.keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _join_small(rows: DataFrame, small: DataFrame, names: list[str], how: str) -> DataFrame:
+def _join_small(rows: DataFrame, small: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
     """Broadcast join on null-safe keys; ``small`` is bounded by MOST_SPLITS."""
-    renamed = small.withColumnsRenamed({n: f"_of_{n}" for n in names})
-    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in names])
+    renamed = small.withColumnsRenamed({n: f"_of_{n}" for n in keys})
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in keys])
     return rows.join(F.broadcast(renamed), same, how)
 
 
-def _with_bucket(df: DataFrame, order: Order) -> DataFrame:
-    return df.withColumns({AT: order.at, BUCKET: order.bucket})
-
-
 def split_points(df: DataFrame, order: Order) -> DataFrame:
-    """(keys, bucket) -> ordered split points, for buckets that are too large for one slice.
+    """Key -> ordered split points, for the keys that are too large for one slice.
 
-    Bounded for any input: only buckets with more than 1/MOST_SPLITS of all rows qualify, and each gets
-    no more points than its share. Splitting changes how the work is spread, never the result.
+    Bounded for any input: only keys with more than 1/MOST_SPLITS of all rows qualify, and each gets no more
+    points than its share. The sample takes rows by a hash of ``seq``, so it is the same in every run.
     """
-    group = [*order.keys, BUCKET]
-    rows = _with_bucket(df, order).select(*group, AT, order.seq)
     total = df.agg(F.count("*")).scalar()
     limit = F.greatest(F.lit(order.max_rows), F.ceil(total / MOST_SPLITS))
-    hot = (rows.groupBy(*group).agg(F.count("*").alias("_rows"))
+    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("_rows") / limit))
+    hot = (df.groupBy(*order.keys).agg(F.count("*").alias("_rows"))
            .where(F.col("_rows") > limit)
-           .withColumns({"_parts": F.least(F.lit(MOST_PARTS), F.ceil(F.col("_rows") / limit)),
-                         "_stride": F.greatest(F.lit(1), F.floor(F.col("_rows") / SAMPLE_ROWS))}))
-    sample = (_join_small(rows, hot, group, "inner")
-              .where(F.pmod(F.xxhash64(order.seq), F.col("_stride")) == 0))
-    in_group = Window.partitionBy(*group)
-    rank = F.row_number().over(in_group.orderBy(AT, order.seq))
-    size = F.count("*").over(in_group)
+           .withColumns({"_parts": parts, "_stride": F.greatest(
+               F.lit(1), F.floor(F.col("_rows") / (parts * SAMPLES_PER_PART)))}))
+    rows = df.select(*order.keys, order.at.alias(AT), order.seq)
+    sample = _join_small(rows, hot, order.keys, "inner").where(
+        F.pmod(F.xxhash64(order.seq), F.col("_stride")) == 0)
+    of_key = Window.partitionBy(*order.keys)
     step = F.floor(F.col("_rank") * F.col("_parts") / F.col("_size"))
     step_before = F.floor((F.col("_rank") - 1) * F.col("_parts") / F.col("_size"))
-    return (sample.withColumns({"_rank": rank, "_size": size})
+    return (sample.withColumns({"_rank": F.row_number().over(of_key.orderBy(AT, order.seq)),
+                                "_size": F.count("*").over(of_key)})
             .where((step > step_before) & (F.col("_rank") < F.col("_size")))
-            .groupBy(*group)
+            .groupBy(*order.keys)
             .agg(F.sort_array(F.collect_list(F.struct(AT, order.seq))).alias("_points")))
 
 
-def with_slices(df: DataFrame, order: Order, points: DataFrame) -> DataFrame:
-    """Add the order column and the slice of every row.
+def with_slices(df: DataFrame, order: Order, points: DataFrame, only_split: bool = False) -> DataFrame:
+    """Add the order column and the slice of every row, or keep the rows of split keys only.
 
     The number of split points passed is found by binary search with steps of halving size.
     """
-    rows = _with_bucket(df, order)
+    rows = df.withColumn(AT, order.at)
     here = F.struct(F.col(AT), F.col(order.seq))
     steps = F.array(*[F.lit(MOST_PARTS >> i) for i in range(1, MOST_PARTS.bit_length())])
     passed = F.when(F.col("_points").isNotNull(), F.aggregate(
         steps, F.lit(0),
         lambda n, step: F.when(F.get("_points", n + step - 1) <= here, n + step).otherwise(n)))
-    return _join_small(rows, points, [*order.keys, BUCKET], "left").select(
+    return _join_small(rows, points, order.keys, "inner" if only_split else "left").select(
         *rows.columns, F.coalesce(passed, F.lit(0)).alias(PART))
 
 
@@ -147,10 +135,11 @@ def running_totals(
         rows = rows.unionByName(
             markers.select(*order.keys, order.ts, order.seq, *[c.alias(n) for n, c in added.items()],
                            F.lit(MARKER).alias(KIND)), allowMissingColumns=True)
-    sliced = with_slices(rows, order, split_points(df, order))
-    totals = sliced.groupBy(*order.slice_columns).agg(*[F.sum(n).alias(n) for n in names])
+    points = split_points(df, order)
+    totals = with_slices(rows, order, points, only_split=True).groupBy(*order.slice_columns).agg(
+        *[F.sum(n).alias(n) for n in names])
     before = {n: F.coalesce(F.sum(n).over(order.earlier_slices()), zero) for n in names}
-    seeded = with_seeds(sliced, totals.withColumns(before))
+    seeded = with_seeds(with_slices(rows, order, points), totals.withColumns(before))
     so_far = order.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (seeded.withColumns({n: F.sum(n).over(so_far) for n in names})
             .where(F.col(KIND) == ROW)
@@ -166,10 +155,12 @@ def first_occurrences(df: DataFrame, order: Order, column: str, name: str) -> Da
 
 def previous_ts(df: DataFrame, order: Order, name: str = "prev_ts") -> DataFrame:
     """Add the timestamp of the preceding row of the same key; null for the first."""
-    sliced = with_slices(df, order, split_points(df, order)).withColumn(KIND, F.lit(ROW))
-    last = sliced.groupBy(*order.slice_columns).agg(F.max(order.ts).alias(order.ts))
+    points = split_points(df, order)
+    last = with_slices(df, order, points, only_split=True).groupBy(*order.slice_columns).agg(
+        F.max(order.ts).alias(order.ts))
     seeds = last.withColumn(order.ts, F.max(order.ts).over(order.earlier_slices()))
-    return (with_seeds(sliced, seeds)
+    rows = with_slices(df, order, points).withColumn(KIND, F.lit(ROW))
+    return (with_seeds(rows, seeds)
             .withColumn(name, F.lag(order.ts).over(order.window()))
             .where(F.col(KIND) == ROW)
             .select(*df.columns, name))
@@ -177,14 +168,15 @@ def previous_ts(df: DataFrame, order: Order, name: str = "prev_ts") -> DataFrame
 
 def last_state(df: DataFrame, order: Order, state: Column, name: str) -> DataFrame:
     """Add the latest non-null ``state`` strictly before each row of the same key."""
-    sliced = (with_slices(df, order, split_points(df, order))
-              .withColumn(KIND, F.lit(ROW)).withColumn("_state", state))
-    place = F.struct(F.col(AT), F.col(order.seq))
-    slices = sliced.groupBy(*order.slice_columns).agg(F.max_by(
-        "_state", F.when(F.col("_state").isNotNull(), place)).alias("_state"))
-    seeds = slices.withColumn("_state", F.last("_state", ignorenulls=True).over(order.earlier_slices()))
+    points = split_points(df, order)
+    stated = df.withColumn("_state", state)
+    place = F.when(F.col("_state").isNotNull(), F.struct(F.col(AT), F.col(order.seq)))
+    last = with_slices(stated, order, points, only_split=True).groupBy(*order.slice_columns).agg(
+        F.max_by("_state", place).alias("_state"))
+    seeds = last.withColumn("_state", F.last("_state", ignorenulls=True).over(order.earlier_slices()))
+    rows = with_slices(stated, order, points).withColumn(KIND, F.lit(ROW))
     before = order.window().rowsBetween(Window.unboundedPreceding, -1)
-    return (with_seeds(sliced, seeds)
+    return (with_seeds(rows, seeds)
             .withColumn(name, F.last("_state", ignorenulls=True).over(before))
             .where(F.col(KIND) == ROW)
             .select(*df.columns, name))

@@ -24,7 +24,7 @@ QOS2 = "seq BIGINT, ts TIMESTAMP, client_id STRING, message_id BIGINT, action ST
        "status STRING, details STRING"
 
 
-@pytest.mark.parametrize("options", [{}, {"max_rows": 1, "bucket_seconds": 1}])
+@pytest.mark.parametrize("options", [{}, {"max_rows": 1}])
 def test_qos2_pairing(spark, options):
     rows = [
         (0, at(0), "c", 1, "publish", "PUBLISH", "sent", ""), (1, at(1.5), "c", 1, "qos2_handshake", "PUBCOMP", "", ""),

@@ -9,10 +9,10 @@ from telemill.operators import ordered
 from telemill.operators.ordered import Order
 
 SLICINGS = [
-    {},                                                   # one bucket per hour
-    {"max_rows": 7, "bucket_seconds": 10 ** 8},           # one bucket, cut at split points
-    {"max_rows": 20, "bucket_seconds": 500},
-    {"max_rows": 3, "bucket_seconds": 20},
+    {},                 # no key is large enough to be cut
+    {"max_rows": 150},  # the dominant key is cut
+    {"max_rows": 20},   # every key is cut
+    {"max_rows": 2},    # slices of a row or two
 ]
 
 
