@@ -41,7 +41,7 @@ class Order:
     keys: tuple[str, ...]
     ts: str = "ts"
     seq: str = "seq"
-    max_rows: int = 1_000_000
+    max_rows: int = 100_000
 
     @property
     def at(self) -> Column:
@@ -67,7 +67,7 @@ def _join_small(rows: DataFrame, small: DataFrame, keys: tuple[str, ...], how: s
 
 
 def split_points(df: DataFrame, order: Order) -> DataFrame:
-    """Key -> ordered split points, for the keys that are too large for one slice.
+    """Key -> ordered split points and search steps, for the keys that are too large for one slice.
 
     Bounded for any input: only keys with more than 1/MOST_SPLITS of all rows qualify, and each gets no more
     points than its share. The sample takes rows by a hash of ``seq``, so it is the same in every run.
@@ -89,19 +89,21 @@ def split_points(df: DataFrame, order: Order) -> DataFrame:
                                 "_size": F.count("*").over(of_key)})
             .where((step > step_before) & (F.col("_rank") < F.col("_size")))
             .groupBy(*order.keys)
-            .agg(F.sort_array(F.collect_list(F.struct(AT, order.seq))).alias("_points")))
+            .agg(F.sort_array(F.collect_list(F.struct(AT, order.seq))).alias("_points"))
+            .withColumn("_steps", F.filter(
+                F.array(*[F.lit(MOST_PARTS >> i) for i in range(1, MOST_PARTS.bit_length())]),
+                lambda step: step <= F.size("_points"))))
 
 
 def with_slices(df: DataFrame, order: Order, points: DataFrame, only_split: bool = False) -> DataFrame:
     """Add the order column and the slice of every row, or keep the rows of split keys only.
 
-    The number of split points passed is found by binary search with steps of halving size.
+    The number of split points passed is found by binary search with steps of halving size, as many as the key needs.
     """
     rows = df.withColumn(AT, order.at)
     here = F.struct(F.col(AT), F.col(order.seq))
-    steps = F.array(*[F.lit(MOST_PARTS >> i) for i in range(1, MOST_PARTS.bit_length())])
     passed = F.when(F.col("_points").isNotNull(), F.aggregate(
-        steps, F.lit(0),
+        "_steps", F.lit(0),
         lambda n, step: F.when(F.get("_points", n + step - 1) <= here, n + step).otherwise(n)))
     return _join_small(rows, points, order.keys, "inner" if only_split else "left").select(
         *rows.columns, F.coalesce(passed, F.lit(0)).alias(PART))
