@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telemill.llm import chunk_codec, token_counts, token_files
+from telemill.llm import chat, chunk_codec, packing, quality, token_counts, token_files, toxicity
 from telemill.llm.runtime import table
 from telemill.session import scratch_path
 
@@ -15,12 +15,23 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), "
+                     "(-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.chat_digests(chat.format_conversations(turns))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"), 0)
     return token_files.read_token_files(spark, path)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 1, 2048)
+
+
 def op7_chunk_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_codec.codec_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -29,5 +40,32 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
 
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit_chain(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {name: query for name, query in globals().items() if name.startswith("op")}
-ORACLES: dict[str, str] = {}
+
+ORACLES: dict[str, str] = {
+    "op4_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (
+  SELECT *, coalesce(lag(role) OVER w = role, false) AS goes_on,
+    length(regexp_replace(role, '(<|\[)(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) AS role_chars,
+    length(regexp_replace(text, '(<|\[)(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) AS text_chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  (sum(text_chars) + sum(CASE WHEN goes_on THEN 8 ELSE 24 + role_chars END))::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id""",
+}
