@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telemill.llm import chat, chunk_codec, packing, quality, suffix_dedup, token_counts, token_files, toxicity
+from telemill.llm import chat, chunk_codec, minhash, packing, quality, suffix_dedup, token_counts, token_files, toxicity
 from telemill.llm.runtime import table
 from telemill.session import scratch_path
 
@@ -20,6 +20,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(docs, suffix_dedup.repeated_ranges(docs, 50))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), "
                      "(-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
