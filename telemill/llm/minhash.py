@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import keep, partitions, ship
+from telemill.llm.runtime import keep, partitions, ship, spare_name
 from telemill.llm.words import LOWER, Hasher, blocks, mix, sums, words
 
 CHUNKS, WIDTH = 16, 5
@@ -291,3 +291,11 @@ def _labelled(described: DataFrame, label: DataFrame, same: list[str]) -> DataFr
     return linked.join(copies, [*same, "salt"]).select(
         "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id") \
         .unionByName(alone)
+
+
+def keep_first(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that ``near_duplicates`` keeps, with all their columns."""
+    name = spare_name(docs, "dropped_id")
+    dropped = (near_duplicates(docs, width, share, id_col, text_col).filter("NOT kept")
+               .select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(dropped, F.col(id_col).cast("long") == F.col(name), "left_anti")

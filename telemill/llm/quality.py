@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import ship
+from telemill.llm.runtime import filter_texts, ship
 from telemill.llm.words import WHITE, Hasher, blocks, mix, sums, words
 
 SAMPLE_DOCS = 4000  # labelled documents that the chain is trained on, at most
@@ -227,6 +227,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sa
     return train(np.concatenate(lines), np.concatenate([[0], np.cumsum(sizes)]), per_line)
 
 
+def verdicts(m: Measures, chain: Chain | None, content_share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base_failed, share of words in content lines, kept."""
+    boiler = chain.decode(m.features, m.line_bounds) if chain else np.zeros(len(m.features), np.int8)
+    content = sums(m.line_words * (boiler == 0), m.line_bounds)
+    share = content / np.maximum(m.n_words, 1)
+    failed = (m.n_words < 50) | (100 * m.n_repeat_words > 50 * m.n_words)
+    return failed, share, ~failed & (share >= content_share)
+
+
 def judge(docs: DataFrame, chain: Chain | None, content_share: float = 0.5, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """Per row the base counts, base_failed, content_share (of words) and kept. One narrow pass, no shuffle."""
@@ -235,17 +244,20 @@ def judge(docs: DataFrame, chain: Chain | None, content_share: float = 0.5, id_c
     def run(batches):
         for rows, data, offsets in blocks(batches, "text"):
             m = measure(data, offsets)
-            boiler = chain.decode(m.features, m.line_bounds) if chain else np.zeros(len(m.features), np.int8)
-            content = sums(m.line_words * (boiler == 0), m.line_bounds)
-            share = content / np.maximum(m.n_words, 1)
-            failed = (m.n_words < 50) | (100 * m.n_repeat_words > 50 * m.n_words)
+            failed, share, kept = verdicts(m, chain, content_share)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), *(pa.array(x.astype(np.int64)) for x in (
                     m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words)), pa.array(failed),
-                 pa.array(share), pa.array(~failed & (share >= content_share))],
+                 pa.array(share), pa.array(kept)],
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                  "content_share", "kept"])
 
     return _source(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
              "base_failed boolean, content_share double, kept boolean")
+
+
+def keep_good(docs: DataFrame, chain: Chain | None, content_share: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows that ``judge`` keeps, with all their columns."""
+    return filter_texts(docs, text_col,
+                        lambda data, offsets: verdicts(measure(data, offsets), chain, content_share)[2])

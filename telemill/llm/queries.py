@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from telemill.llm import chat, chunk_codec, minhash, packing, quality, suffix_dedup, token_counts, token_files, toxicity
+from telemill.llm import ann, chat, chunk_codec, minhash, packing, quality, suffix_dedup, token_counts, token_files, toxicity
 from telemill.llm.runtime import table
 from telemill.session import scratch_path
 
@@ -20,6 +21,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(docs, suffix_dedup.repeated_ranges(docs, 50))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
 

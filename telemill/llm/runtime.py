@@ -8,6 +8,7 @@ import zipfile
 
 import telemill
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from telemill.session import scratch_path
 
@@ -45,3 +46,26 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def spare_name(frame: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, in any case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def filter_texts(docs: DataFrame, text_col: str, decide) -> DataFrame:
+    """The rows for whose texts ``decide(bytes, offsets)`` is true, all columns as they are; one narrow pass."""
+    from telemill.llm.words import blocks
+    import pyarrow as pa
+
+    ship(docs.sparkSession)
+    name = spare_name(docs, "text_bytes")
+
+    def run(batches):
+        for rows, data, offsets in blocks(batches, name):
+            yield rows.select(rows.schema.names[:-1]).filter(pa.array(decide(data, offsets)))
+
+    return docs.withColumn(name, F.col(text_col).cast("binary")).mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import keep, partitions, ship
+from telemill.llm.runtime import keep, partitions, ship, spare_name
 from telemill.llm.words import Hasher, blocks
 
 GRAM = 16
@@ -228,8 +228,8 @@ def free_shuffles(docs: DataFrame) -> None:
     docs.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _covered(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    ranges = rows.column(rows.schema.get_field_index("ranges"))
+def _covered(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, name: str = "ranges") -> np.ndarray:
+    ranges = rows.column(rows.schema.get_field_index(name))
     counts = ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat = ranges.flatten()
     base = np.repeat(offsets[:-1], counts)
@@ -262,22 +262,29 @@ def removal_digests(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id",
 
 
 def remove_ranges(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and text without the characters that the ranges cover whole. A null text stays null."""
+    """All columns, the text without the characters that the ranges cover whole. A null text stays null."""
+    ship(docs.sparkSession)
+    schema, place = docs.schema, docs.columns.index(text_col)
+    key = spare_name(docs, "range_id")
+    found = spare_name(docs, "ranges")
+    named = ranges.select(F.col("doc_id").alias(key), F.col("ranges").alias(found))
+
     def run(batches):
-        for rows, data, offsets in blocks(batches, "text"):
-            gone = _covered(rows, data, offsets)
+        for rows, data, offsets in blocks(batches, text_col):
+            gone = _covered(rows, data, offsets, found)
             lead = (data & 0xC0) != 0x80
             lead[offsets[:-1][offsets[:-1] < len(data)]] = True
             first = np.flatnonzero(lead)
             if len(first):
-                whole = np.minimum.reduceat(gone, first)
-                gone = np.repeat(whole, np.diff(np.append(first, len(data))))
+                gone = np.repeat(np.minimum.reduceat(gone, first), np.diff(np.append(first, len(data))))
             left = data[~gone].tobytes()
             removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[offsets])
             bounds = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)]).tolist()
-            null = rows.column(1).is_null().to_pylist()
+            null = rows.column(place).is_null().to_pylist()
             texts = [None if z else left[a:b].decode("utf-8", "replace") for a, b, z in zip(bounds[:-1], bounds[1:], null)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            columns = list(rows.columns[:len(schema)])
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, rows.schema.names[:len(schema)])
 
-    return (_source(docs, id_col, text_col).join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
-            .mapInArrow(run, "doc_id long, text string"))
+    joined = docs.join(named, F.col(id_col).cast("long") == F.col(key), "left")
+    return joined.select(*[F.col(c) for c in docs.columns], found).mapInArrow(run, schema)

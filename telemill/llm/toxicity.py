@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import ship
+from telemill.llm.runtime import filter_texts, ship
 from telemill.llm.words import LOWER, Memo, blocks, remembered, sums, words
 
 SAMPLE_DOCS = 8000  # labelled documents learnt from, at most
@@ -268,3 +268,11 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
     scored = source.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_ordinary(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows whose texts score below the threshold, with all their columns."""
+    def decide(data, offsets):
+        return _kept(model).score(data, offsets) < threshold if model else np.ones(len(offsets) - 1, bool)
+
+    return filter_texts(docs, text_col, decide)
