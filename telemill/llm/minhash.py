@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import keep, partitions, ship, spare_name
+from telemill.llm.runtime import free_shuffles, keep, partitions, ship, spare_name
 from telemill.llm.words import LOWER, Hasher, blocks, mix, sums, words
 
 CHUNKS, WIDTH = 16, 5
@@ -256,14 +256,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, id_col: st
     shared = buckets(classes)
     several = shared.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     entries = keep(shared.join(several, "bucket", "left_semi"), "buckets")
-    spark.sparkContext._jvm.System.gc()
+    free_shuffles(spark)
     signature = classes.select("doc_id", "signature")
     named = _by_bucket(entries.withColumn("component", F.col("doc_id")).join(signature, "doc_id"), _nearest, _PAIRS)
     best = named.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     pairs = keep(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = classes.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "set_1")
     sets = keep(shingle_sets(source, wanted, width), "sets")
-    spark.sparkContext._jvm.System.gc()
+    free_shuffles(spark)
     links = keep(confirm(pairs, sets, share), "links")
     found = components(links)
     labelled = entries.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, id_col: st
     tried = pairs.select("a", "b")
     across = keep(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                   .join(tried, ["a", "b"], "left_anti"), "pairs")
-    spark.sparkContext._jvm.System.gc()
+    free_shuffles(spark)
     more = keep(confirm(across, sets, share), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import zipfile
 
 import telemill
@@ -48,6 +50,14 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, whose results are stored: it does once nothing refers to them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def spare_name(frame: DataFrame, name: str) -> str:
     """A column name that the frame doesn't have, in any case."""
     taken = {c.lower() for c in frame.columns}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import keep, partitions, ship, spare_name
+from telemill.llm.runtime import free_shuffles, keep, partitions, ship, spare_name
 from telemill.llm.words import Hasher, blocks
 
 GRAM = 16
@@ -216,16 +216,14 @@ def repeated_ranges(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     """doc_id and ranges (array of start, end in bytes; they may overlap) that repeat a smaller document's bytes."""
     source = _source(docs, id_col, text_col)
     shared = keep(shared_digits(source, width), "digits")
-    free_shuffles(docs)
+    free_shuffles(docs.sparkSession)
     carried = keep(carried_runs(source, shared, width), "runs")
-    free_shuffles(docs)
+    free_shuffles(docs.sparkSession)
     found = covered_ranges(carried, width)
-    return keep(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
-
-
-def free_shuffles(docs: DataFrame) -> None:
-    """Let Spark drop the shuffle files of finished steps, whose results are stored."""
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    ranges = keep(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    del found
+    free_shuffles(docs.sparkSession)
+    return ranges
 
 
 def _covered(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, name: str = "ranges") -> np.ndarray:
