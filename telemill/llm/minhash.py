@@ -8,9 +8,11 @@ similarity 0.8 differ in 16 of 80 symbols on average; more than 31 is 4.3 standa
 1. Documents of equal shingle sets are one class; only its smallest id goes on.
 2. In each bucket documents name their nearest partner; the best one of each document is confirmed on full sets.
    Confirmed links give first components.
-3. In buckets that still hold several components all pairs across components under the distance are named, each pair in
-   the first bucket that it shares, and confirmed. Pairs within a component can't change it, so no link is lost while
-   groups of copies cost one pair a document.
+3. In buckets that still hold several components every pair across components under the distance is looked at, in the
+   first bucket that it shares: documents with such a pair bring their full sets to that bucket, where shared shingles
+   are counted exactly and only links that join two components are returned. Pairs within a component can't change it,
+   so no link is lost, and neither step makes more rows than there are entries in buckets. A bucket of more than
+   ``BLOCK`` documents is dealt into pairs of blocks, so that no task holds more than two blocks.
 
 Defined cases: texts without words (null ones too) are empty and linked with nothing; rows of null id are linked with
 nothing, their component is null and they are kept; rows of equal id share a component if their sets do, and are kept
@@ -21,16 +23,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.llm.runtime import free_shuffles, keep, partitions, ship, spare_name
-from telemill.llm.words import LOWER, Hasher, blocks, mix, sums, words
+from telemill.llm.words import LOWER, Hasher, blocks, mix, pick, words
 
 CHUNKS, WIDTH = 16, 5
 SYMBOLS, REACH = CHUNKS * WIDTH, 2 * CHUNKS - 1
 ALL_PAIRS = 256  # in larger buckets the nearest partner is sought among HUBS members
 HUBS = 32
+BLOCK = 4096  # documents of a bucket whose full sets meet in a task, at most twice as many
 
 _RANDOM = np.random.default_rng(7)
 _A = _RANDOM.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -123,46 +126,50 @@ def buckets(classes: DataFrame) -> DataFrame:
     return classes.select("doc_id", "signature").mapInArrow(run, "bucket long, place int, doc_id long")
 
 
-def _by_bucket(frame: DataFrame, work, schema: str) -> DataFrame:
-    """Calls ``work(place, docs, components, signatures)`` for each bucket, reading sorted rows as they come."""
+def _groups(batches, keys: list[str]):
+    """Tables of whole runs of rows with equal keys, from sorted rows as they come; and the edges of the runs."""
+    def edges(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows + 1, bool)
+        new[[0, -1]] = True
+        for key in keys:
+            value = table.column(key).to_numpy()
+            new[1:-1] |= value[1:] != value[:-1]
+        return np.flatnonzero(new)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        cut = int(edges(table)[-2])  # the last run may go on
+        if cut:
+            yield (done := table.slice(0, cut)), edges(done)
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield (done := pa.Table.from_batches(held)), edges(done)
+
+
+def _by_bucket(frame: DataFrame, work, columns: list[str]) -> DataFrame:
+    """Calls ``work(bucket, place, docs, components, signatures)`` for each bucket and returns its columns of longs."""
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def emit(table: pa.Table):
-            bucket = table.column("bucket").to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            place, doc, component = (table.column(c).to_numpy() for c in ("place", "doc_id", "component"))
-            raw = table.column("signature").combine_chunks()
-            raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-            signature = np.frombuffer(b"".join(raw.to_pylist()), np.uint16).reshape(len(bucket), SYMBOLS)
-            found = [work(int(place[a]), doc[a:b], component[a:b], signature[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+        for table, edge in _groups(batches, ["bucket"]):
+            bucket, place, doc, component = (table.column(c).to_numpy() for c in ("bucket", "place", "doc_id", "component"))
+            raw = b"".join(table.column("signature").to_pylist())
+            signature = np.frombuffer(raw, np.uint16).reshape(len(bucket), SYMBOLS)
+            found = [work(int(bucket[a]), int(place[a]), doc[a:b], component[a:b], signature[a:b])
+                     for a, b in zip(edge[:-1], edge[1:])]
             found = [f for f in found if f is not None and len(f[0])]
             if found:
-                columns = [np.concatenate(c) for c in zip(*found)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "distance"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            bucket = table.column("bucket").to_numpy()
-            cut = len(bucket) - int(np.argmax(bucket[::-1] != bucket[-1])) if (bucket != bucket[-1]).any() else 0
-            if cut:
-                yield from emit(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield from emit(pa.Table.from_batches(held))
-
-    columns = ["bucket", "place", "doc_id", "component", "signature"]
-    return (frame.select(*columns).repartition(partitions(frame.sparkSession), "bucket").sortWithinPartitions("bucket", "doc_id")
-            .mapInArrow(run, schema))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], columns)
 
+    taken = ["bucket", "place", "doc_id", "component", "signature"]
+    return (frame.select(*taken).repartition(partitions(frame.sparkSession), "bucket").sortWithinPartitions("bucket", "doc_id")
+            .mapInArrow(run, ", ".join(f"{c} long" for c in columns)))
 
-_PAIRS = "a long, b long, distance int"
 
-
-def _nearest(place: int, doc: np.ndarray, component: np.ndarray, signature: np.ndarray):
+def _nearest(bucket: int, place: int, doc: np.ndarray, component: np.ndarray, signature: np.ndarray):
+    """Each document with its nearest partner (a, b, distance)."""
     n = len(doc)
     if n < 2:
         return None
@@ -177,32 +184,75 @@ def _nearest(place: int, doc: np.ndarray, component: np.ndarray, signature: np.n
     return doc[near], partner[near], best[near]
 
 
-def _across(place: int, doc: np.ndarray, component: np.ndarray, signature: np.ndarray):
+def _across(bucket: int, place: int, doc: np.ndarray, component: np.ndarray, signature: np.ndarray):
+    """Documents with a pair across components whose first shared bucket this is (bucket, doc_id, component)."""
     names, index, counts = np.unique(component, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return None
-    main = np.argmax(counts)
-    rest = np.flatnonzero(index != main)
-    done = np.zeros(len(doc), bool)
-    out: list[list[np.ndarray]] = [[], [], []]
     chunk, left_out = divmod(place, WIDTH)
-    for x in rest.tolist():
-        done[x] = True  # pairs of two documents outside the main component are looked at once
+    involved = np.zeros(len(doc), bool)
+    for x in np.flatnonzero(index != np.argmax(counts)).tolist():  # a pair has a document outside the main component
         differ = signature != signature[x]
-        distance = differ.sum(1)
-        y = np.flatnonzero((distance <= REACH) & (component != component[x]) & ~done)
+        y = np.flatnonzero((differ.sum(1) <= REACH) & (index != index[x]))
         if not len(y):
             continue
         errors = differ[y].reshape(len(y), CHUNKS, WIDTH)
         first = np.argmax(errors.sum(2) <= 1, axis=1)
         wrong = errors[np.arange(len(y)), first]
         # the first bucket that both are in leaves out the wrong symbol, or the first one if none is wrong
-        mine = (first == chunk) & (np.where(wrong.any(1), wrong.argmax(1), 0) == left_out)
-        y = y[mine]
-        out[0].append(np.full(len(y), doc[x]))
-        out[1].append(doc[y])
-        out[2].append(distance[y].astype(np.int32))
-    return [np.concatenate(c) for c in out] if out[0] else None
+        mine = y[(first == chunk) & (np.where(wrong.any(1), wrong.argmax(1), 0) == left_out)]
+        involved[mine] = True
+        involved[x] |= len(mine) > 0
+    return np.full(int(involved.sum()), bucket), doc[involved], component[involved]
+
+
+def joining_links(doc: np.ndarray, component: np.ndarray, values: np.ndarray, bounds: np.ndarray, share: int) -> list[tuple[int, int]]:
+    """Links between documents of different components, by exact counts of shared shingles; no more than join them."""
+    n, size = len(doc), np.diff(bounds)
+    owner = np.repeat(np.arange(n), size)
+    _, value = np.unique(values, return_inverse=True)
+    order = np.argsort(value, kind="stable")
+    posted = owner[order]
+    at = np.concatenate([[0], np.cumsum(np.bincount(value))])
+    _, label = np.unique(component, return_inverse=True)
+    found = []
+    main = np.argmax(np.bincount(label))
+    for x in np.flatnonzero(label != main).tolist():
+        own = value[bounds[x]:bounds[x + 1]]
+        both = np.bincount(pick(posted, at[own], at[own + 1] - at[own]), minlength=n)
+        linked = np.flatnonzero((100 * both >= share * (size + size[x] - both)) & (label != label[x]))
+        for y in linked.tolist():
+            if label[y] != label[x]:
+                found.append((int(doc[x]), int(doc[y])))
+                label[label == label[y]] = label[x]
+    return found
+
+
+def links_across(involved: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between components among the documents of each bucket."""
+    in_bucket = Window.partitionBy("bucket")
+    block = F.floor((F.row_number().over(in_bucket.orderBy("doc_id")) - 1) / BLOCK).cast("int")
+    blocks_ = involved.withColumn("block", block).withColumn("last", F.max("block").over(in_bucket))
+    partners = F.explode(F.sequence(F.lit(0), F.col("last")))
+    dealt = blocks_.withColumn("other", partners).select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "component")
+    keys = ["bucket", "low", "high"]
+
+    def run(batches):
+        for table, edge in _groups(batches, keys):
+            doc, component = (table.column(c).to_numpy() for c in ("doc_id", "component"))
+            shingle = table.column("shingles").combine_chunks()
+            flat = shingle.flatten().to_numpy()
+            bounds = np.concatenate([[0], np.cumsum(shingle.value_lengths().to_numpy())])
+            found = []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                found += joining_links(doc[a:b], component[a:b], flat[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a], share)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    return (dealt.join(sets, "doc_id").select(*keys, "doc_id", "component", "shingles")
+            .repartition(partitions(sets.sparkSession), *keys).sortWithinPartitions(*keys, "doc_id")
+            .mapInArrow(run, "a long, b long"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -258,7 +308,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, id_col: st
     entries = keep(shared.join(several, "bucket", "left_semi"), "buckets")
     free_shuffles(spark)
     signature = classes.select("doc_id", "signature")
-    named = _by_bucket(entries.withColumn("component", F.col("doc_id")).join(signature, "doc_id"), _nearest, _PAIRS)
+    named = _by_bucket(entries.withColumn("component", F.col("doc_id")).join(signature, "doc_id"), _nearest,
+                       ["a", "b", "distance"])
     best = named.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     pairs = keep(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = classes.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "set_1")
@@ -268,12 +319,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, id_col: st
     found = components(links)
     labelled = entries.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    across = _by_bucket(labelled.join(open_, "bucket", "left_semi").join(signature, "doc_id"), _across, _PAIRS)
-    tried = pairs.select("a", "b")
-    across = keep(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                  .join(tried, ["a", "b"], "left_anti"), "pairs")
+    involved = keep(_by_bucket(labelled.join(open_, "bucket", "left_semi").join(signature, "doc_id"), _across,
+                               ["bucket", "doc_id", "component"]), "involved")
     free_shuffles(spark)
-    more = keep(confirm(across, sets, share), "links")
+    more = keep(links_across(involved, sets, share), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     label = classes.join(found, "doc_id", "left").select(

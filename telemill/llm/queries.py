@@ -67,6 +67,49 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {name: query for name, query in globals().items() if name.startswith("op")}
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+u AS (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS pos FROM d WHERE length(h) >= 100),
+w AS (SELECT doc_id, pos, md5_number(substr(h, 2 * pos + 1, 100)) AS k FROM u),
+f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, pos, first FROM w JOIN f ON f.k = w.k),
+c AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM g WHERE first < doc_id),
+i AS (SELECT doc_id, pos, sum(CASE WHEN before IS NULL OR pos > before + 50 THEN 1 ELSE 0 END)
+        OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM c),
+s AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 50 AS b FROM i GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM s),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last FROM s GROUP BY doc_id),
+l AS (SELECT k.doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS kept
+      FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN t.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id""",
+    "op2_neighbours": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1),
+    lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda x, y: x + y)) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id
+  WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM p
+WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number() OVER w <= 10""",
+    "op3_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [words]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: words[i:i + 3]) END) AS shingle FROM w),
+k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY ALL),
+link AS (SELECT a, b FROM b JOIN k ka ON ka.doc_id = a JOIN k kb ON kb.doc_id = b
+  WHERE 100 * n_both >= 80 * (ka.n + kb.n - n_both)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(component, doc_id)) AS component_id,
+  doc_id <= coalesce(component, doc_id) AS kept
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN least ON least.a = doc_id""",
     "op4_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
