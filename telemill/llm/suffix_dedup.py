@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +72,13 @@ class Runs:
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    text = F.col(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _text_hash(text).alias("text_hash"))
+
+
+def _text_hash(text) -> F.Column:
+    """Tells rows of equal id apart."""
+    return F.hash(text)
 
 
 def _doc_ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -131,12 +138,13 @@ def carried_runs(source: DataFrame, shared: DataFrame, width: int) -> DataFrame:
             at = start - offsets[text]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(digit.view(np.int64)), pa.array(doc), pa.array(at), pa.array(at + end - start),
-                 pa.array((anchor - start).astype(np.int32)),
+                 pa.array((anchor - start).astype(np.int32)), rows.column(names.index("text_hash")).take(pa.array(text)),
                  pa.array([None if c else s for s, c in zip(span, covered.tolist())], pa.binary())],
-                ["digit", "doc_id", "start", "end", "anchor", "span"])
+                ["digit", "doc_id", "start", "end", "anchor", "text_hash", "span"])
 
-    joined = source.join(shared, "doc_id").select("doc_id", "text", "starts")
-    return joined.mapInArrow(run, "digit long, doc_id long, start long, end long, anchor int, span binary")
+    names = ["doc_id", "text", "text_hash", "starts"]
+    return source.join(shared, "doc_id").select(*names).mapInArrow(
+        run, "digit long, doc_id long, start long, end long, anchor int, text_hash int, span binary")
 
 
 def radix_passes(digit: np.ndarray, doc: np.ndarray, anchor: np.ndarray, spans: pa.Array, width: int) -> np.ndarray:
@@ -174,13 +182,12 @@ def radix_passes(digit: np.ndarray, doc: np.ndarray, anchor: np.ndarray, spans:
 
 
 def covered_ranges(carried: DataFrame, width: int) -> DataFrame:
-    """Second and later passes: doc_id, start, end of the bytes that repeat a smaller document's."""
+    """Second and later passes: doc_id, text_hash, start, end of the bytes that repeat a smaller document's."""
     def resolve(table: pa.Table):
         doc, start, anchor, digit = (table.column(c).to_numpy() for c in ("doc_id", "start", "anchor", "digit"))
         spans = table.column("span").combine_chunks()
         covered = radix_passes(digit, doc, anchor, spans, width)
-        count = spans.value_lengths().to_numpy() if hasattr(spans, "value_lengths") else np.array([len(x) for x in spans.to_pylist()])
-        count = count - width + 1
+        count = pc.binary_length(spans).to_numpy() - width + 1
         row = np.repeat(np.arange(len(doc)), count)
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         new = covered.copy()
@@ -188,8 +195,10 @@ def covered_ranges(carried: DataFrame, width: int) -> DataFrame:
         done = covered.copy()
         done[:-1] &= ~covered[1:] | (step[1:] == 0)
         a, b = np.flatnonzero(new), np.flatnonzero(done)
-        return pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(start[row[a]] + step[a]),
-                                           pa.array(start[row[b]] + step[b] + width)], ["doc_id", "start", "end"])
+        kind = table.column("text_hash").to_numpy()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[row[a]]), pa.array(kind[row[a]]), pa.array(start[row[a]] + step[a]),
+             pa.array(start[row[b]] + step[b] + width)], ["doc_id", "text_hash", "start", "end"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -206,21 +215,21 @@ def covered_ranges(carried: DataFrame, width: int) -> DataFrame:
             yield resolve(pa.Table.from_batches(held))
 
     n = partitions(carried.sparkSession)
-    found = (carried.filter("span IS NOT NULL").select("digit", "doc_id", "start", "anchor", "span")
+    found = (carried.filter("span IS NOT NULL").select("digit", "doc_id", "text_hash", "start", "anchor", "span")
              .repartition(n, "digit").sortWithinPartitions("digit")
-             .mapInArrow(run, "doc_id long, start long, end long"))
-    return found.unionByName(carried.filter("span IS NULL").select("doc_id", "start", "end"))
+             .mapInArrow(run, "doc_id long, text_hash int, start long, end long"))
+    return found.unionByName(carried.filter("span IS NULL").select("doc_id", "text_hash", "start", "end"))
 
 
 def repeated_ranges(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ranges (array of start, end in bytes; they may overlap) that repeat a smaller document's bytes."""
+    """doc_id, text_hash and ranges (array of start, end in bytes; they may overlap) that repeat a smaller document's bytes."""
     source = _source(docs, id_col, text_col)
     shared = keep(shared_digits(source, width), "digits")
     free_shuffles(docs.sparkSession)
     carried = keep(carried_runs(source, shared, width), "runs")
     free_shuffles(docs.sparkSession)
     found = covered_ranges(carried, width)
-    ranges = keep(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    ranges = keep(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
     del found
     free_shuffles(docs.sparkSession)
     return ranges
@@ -255,7 +264,7 @@ def removal_digests(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id",
                  pa.array(spans.astype(np.int64)), pa.array(digest, pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return (_source(docs, id_col, text_col).join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
+    return (_source(docs, id_col, text_col).join(ranges, ["doc_id", "text_hash"], "left").select("doc_id", "text", "ranges")
             .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
@@ -265,7 +274,8 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", te
     schema, place = docs.schema, docs.columns.index(text_col)
     key = spare_name(docs, "range_id")
     found = spare_name(docs, "ranges")
-    named = ranges.select(F.col("doc_id").alias(key), F.col("ranges").alias(found))
+    kind = spare_name(docs, "range_text")
+    named = ranges.select(F.col("doc_id").alias(key), F.col("text_hash").alias(kind), F.col("ranges").alias(found))
 
     def run(batches):
         for rows, data, offsets in blocks(batches, text_col):
@@ -284,5 +294,6 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", te
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, rows.schema.names[:len(schema)])
 
-    joined = docs.join(named, F.col(id_col).cast("long") == F.col(key), "left")
+    joined = docs.join(named, (F.col(id_col).cast("long") == F.col(key))
+                       & (_text_hash(F.col(text_col).cast("binary")) == F.col(kind)), "left")
     return joined.select(*[F.col(c) for c in docs.columns], found).mapInArrow(run, schema)
