@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from telemill.functions.text import matched
 
 # Plain decimal notation only: a bare cast would also accept type suffixes such as 1.5d, and fail slowly on
-# other text. Digits and exponent are bounded so that every match is a finite number.
-NUMBER = r"^\s*([+-]?(?:\d{1,200}\.?\d*|\.\d+)(?:[eE][+-]?\d{1,2})?)\s*$"
-WHOLE = r"^\s*([+-]?\d{1,19})(?:\.0*)?\s*$"
-WITH_EXPONENT = r"^\s*([+-]?(?:\d{1,200}\.?\d*|\.\d+)[eE][+-]?\d{1,2})\s*$"
+# other text. The patterns test the shape; numbers beyond the range of a double or bigint become null.
+NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
+WHOLE = r"^\s*([+-]?\d+)(?:\.0*)?\s*$"
+WITH_EXPONENT = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)[eE][+-]?\d+)\s*$"
 
 
 def number_text(value: Column) -> Column:
@@ -20,14 +20,18 @@ def number_text(value: Column) -> Column:
 
 
 def to_number(value: Column) -> Column:
-    """Text to DOUBLE; anything that is not a plain number gives null."""
-    return number_text(value).try_cast("double")
+    """Text to DOUBLE; anything that is not a plain finite number gives null."""
+    return _finite(number_text(value).try_cast("double"))
+
+
+def _finite(number: Column) -> Column:
+    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def to_whole_number(value: Column) -> Column:
     """Text to BIGINT; fractional, oversized or malformed text gives null."""
     text = value.cast("string")
-    scientific = matched(text, WITH_EXPONENT, 1).try_cast("double")
+    scientific = _finite(matched(text, WITH_EXPONENT, 1).try_cast("double"))
     return F.coalesce(
         matched(text, WHOLE, 1).try_cast("bigint"),
         F.when(scientific == F.floor(scientific), scientific.try_cast("bigint")))

@@ -18,16 +18,25 @@ _NUMERIC_TYPE = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*|BOOLEAN)$
 _ENTRIES = "array<struct<key:string,value:variant>>"
 
 
+def is_json_object(text: Column) -> Column:
+    """Whether a text is one JSON object and nothing else; null for null.
+
+    Spark's parsers ignore what follows a value. Text with more than one value may still look like the sole item of an
+    array or like the sole member of an object, but not like both.
+    """
+    sole_item = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    sole_member = F.size(F.json_object_keys(F.concat(F.lit('{"x":'), text, F.lit("}")))) == 1
+    braces = F.ltrim(text).startswith("{") & F.rtrim(text).endswith("}")
+    return F.when(text.isNotNull(), F.coalesce(braces & sole_item & sole_member, F.lit(False)))
+
+
 def with_json_entries(df: DataFrame, text: Column, name: str = "_entries") -> DataFrame:
     """Add the entries of a JSON object in document order; null when the text is not one object.
 
     Values are variants, so a quoted number stays distinguishable from a number. A repeated key
-    keeps its first place and its last value. ``from_json`` ignores text after the object, so a
-    payload counts only if it is the sole item of a JSON array.
+    keeps its first place and its last value.
     """
-    looks_right = F.ltrim(text).startswith("{") & F.rtrim(text).endswith("}")
-    is_object = looks_right & (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1)
-    parsed = F.from_json(F.when(is_object, text), "map<string,variant>", {"allowSingleQuotes": "false"})
+    parsed = F.from_json(F.when(is_json_object(text), text), "map<string,variant>", {"allowSingleQuotes": "false"})
     entries = F.col(name)
     keys = F.transform(entries, lambda e: e["key"])
     last_of_each = F.transform(

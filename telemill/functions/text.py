@@ -20,12 +20,12 @@ _STAND_IN = "﷐"  # Unicode noncharacter, never used for text
 
 
 def matched(text: Column, pattern: str, group: int = 0) -> Column:
-    """The first match of a pattern (or one of its groups), null when there is none."""
-    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+    """The first match of a pattern (or one of its groups), null when there is none or it is empty."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def not_empty(text: Column) -> Column:
-    return matched(text, "(?s)^.+$")
+    return F.nullif(text, F.lit(""))
 
 
 def strip(text: Column) -> Column:

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from telemill.functions.numbers import number_text
 from telemill.functions.text import matched, strip
 
-# Spellings tried after ISO 8601, each for texts that begin like it.
+# Spellings tried after ISO 8601, each for texts that begin like it. Fractions of a second may have up to nine digits.
 OTHER_FORMATS = {
-    r"^\d{1,2}/\d{1,2}/\d{4}.*$": ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy"],
-    r"^\d{4}/.*$": ["yyyy/M/d H:mm:ss"],
-    r"^[A-Z][a-z]{2} .*$": ["MMM d, yyyy H:mm:ss.SSSSSSSSS z", "MMM d, yyyy H:mm:ss"],
-    r"^\d{1,2} [A-Z][a-z]{2} .*$": ["d MMM yyyy H:mm:ss z"],
+    r"^\d{1,2}/\d{1,2}/\d{4}.*$": ["M/d/yyyy[ H:mm[:ss[.SSSSSSSSS][.SSSSSS][.SSS][.SS][.S]]]", "M/d/yyyy h:mm[:ss] a"],
+    r"^\d{1,2}-\d{1,2}-\d{4}.*$": ["M-d-yyyy[ H:mm[:ss[.SSSSSS][.SSS][.S]]]", "M-d-yyyy h:mm[:ss] a"],
+    r"^\d{4}/.*$": ["yyyy/M/d[ H:mm[:ss[.SSSSSS][.SSS][.S]]]"],
+    r"^[A-Z][a-z]{2} .*$": ["MMM d[,] yyyy[ H:mm[:ss[.SSSSSSSSS][.SSSSSS][.SSS]]][ z]"],
+    r"^[A-Z][a-z]{3,8} .*$": ["MMMM d[,] yyyy[ H:mm[:ss]][ z]"],
+    r"^\d{1,2} [A-Z][a-z]{2} .*$": ["d MMM yyyy[ H:mm[:ss]][ z]"],
+    r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2},\d+$": ["yyyy-MM-dd['T'][ ]HH:mm:ss[,SSSSSSSSS][,SSSSSS][,SSS]"],
 }
+_WEEKDAY = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? "
 
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -33,8 +37,9 @@ def parse_ts(value: Column) -> Column:
     """Epoch seconds or a date string (UTC unless it names a zone); otherwise null."""
     text = value.cast("string")
     spelled = [F.try_to_timestamp(strip(text))]
+    named = F.regexp_replace(strip(text), _WEEKDAY, "")
     for beginning, formats in OTHER_FORMATS.items():
-        alike = matched(strip(text), beginning)
+        alike = matched(named, beginning)
         spelled += [F.try_to_timestamp(alike, F.lit(f)) for f in formats]
     return F.coalesce(epoch_ts(text), *spelled)
 

@@ -7,17 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ESCAPED = r"([\\.\[\]{}()*^$|?])"
-
-
 def filter_regex(topic_filter: str) -> str:
-    """Anchored regular expression for one topic filter."""
+    """Regular expression for one topic filter over whole topics, line breaks included."""
     levels = topic_filter.split("/")
-    guard = r"(?!\$)" if levels[0] in ("+", "#") else ""
+    start = r"(?s)\A(?!\$)" if levels[0] in ("+", "#") else r"(?s)\A"
     if levels[-1] == "#":
         head = [_level_regex(level) for level in levels[:-1]]
-        return f"^{guard}" + ("/".join(head) + "(/.*)?$" if head else ".*$")
-    return f"^{guard}" + "/".join(_level_regex(level) for level in levels) + "$"
+        return start + ("/".join(head) + r"(/.*)?\z" if head else r".*\z")
+    return start + "/".join(_level_regex(level) for level in levels) + r"\z"
 
 
 def _level_regex(level: str) -> str:
@@ -29,20 +26,6 @@ def topic_matches(topic: Column, topic_filter: str) -> Column:
     return F.coalesce(topic.rlike(filter_regex(topic_filter)), F.lit(False))
 
 
-def filter_regex_column(topic_filter: Column) -> Column:
-    """``filter_regex`` as an expression, for filters kept in a table."""
-    literal = F.regexp_replace(topic_filter, _ESCAPED, r"\\$1")
-    one_level = F.regexp_replace(literal, r"(^|/)\+(?=/|$)", "$1[^/]*")
-    rest = F.when(one_level == "#", F.lit(".*")).otherwise(
-        F.regexp_replace(one_level, "/#$", "(/.*)?"))
-    guard = F.when(topic_filter.rlike(r"^([+](/|$)|#$)"), F.lit(r"(?!\$)")).otherwise(F.lit(""))
-    return F.concat(F.lit("^"), guard, rest, F.lit("$"))
-
-
-def first_level(topic: Column) -> Column:
-    return F.substring_index(topic, "/", 1)
-
-
 def device_from_topic(topic: Column) -> Column:
     """Device name of a topic with three or more levels, else ``unknown``."""
     levels = F.split(topic, "/")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemill.functions.payload import is_json_object
 from telemill.schemas import CAMERA_CLASSES, CAMERA_SCHEMAS
 
 # --- fixed values: fields shown per class and what stands for a missing one ---
@@ -17,11 +18,6 @@ SHOWN_FIELDS = {
 }
 
 
-def _is_json_object(payload: Column) -> Column:
-    whole = F.json_array_length(F.concat(F.lit("["), payload, F.lit("]"))) == 1
-    return F.coalesce(F.ltrim(payload).startswith("{") & F.rtrim(payload).endswith("}") & whole, F.lit(False))
-
-
 def camera_class(topic: Column) -> Column:
     """First class whose name occurs anywhere in the topic, null if none does."""
     return F.coalesce(*[F.when(F.contains(topic, F.lit(name)), F.lit(name)) for name in CAMERA_CLASSES])
@@ -30,7 +26,7 @@ def camera_class(topic: Column) -> Column:
 def parse_camera_topic(df: DataFrame) -> DataFrame:
     """Add zone, camera and message type; drops rows with fewer than five levels or without a JSON object."""
     levels = F.split("topic", "/")
-    return (df.where((F.size(levels) >= 5) & _is_json_object(F.col("payload")))
+    return (df.where((F.size(levels) >= 5) & is_json_object(F.col("payload")))
             .withColumns({"zone": F.get(levels, F.lit(1)), "camera_id": F.get(levels, F.lit(3)),
                           "message_type": F.get(levels, F.lit(4))}))
 

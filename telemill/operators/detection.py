@@ -243,16 +243,26 @@ def high_severity(alerts: DataFrame) -> DataFrame:
     return alerts.where(F.col("severity").isin("HIGH", "CRITICAL"))
 
 
-def alert_summary(alerts: DataFrame, last_n: int | None = 1000, features: DataFrame | None = None) -> DataFrame:
-    """Alerts by severity and by action over the latest ``last_n`` (``None``: all), in one pass.
+def rule_place(rule_name: Column) -> Column:
+    """Place of a rule, by its name, in the order of the checks of one row."""
+    names = [DEFAULT_RULES[key].name for key in CHECK_ORDER]
+    return F.coalesce(*[F.when(rule_name == name, F.lit(i)) for i, name in enumerate(names)], F.lit(len(names)))
 
-    With ``features`` a further row counts the clients analysed.
+
+def alert_summary(alerts: DataFrame, last_n: int | None = None, features: DataFrame | None = None) -> DataFrame:
+    """Alerts by severity and by action, over all alerts or the latest ``last_n``, in one pass.
+
+    Alerts are in the order of their rows, as far as these are known: timestamp with nulls last, then ``seq`` if the
+    alerts have it (``keep=("seq",)`` of ``detect``), then the order of the checks. With ``features`` a further row
+    counts the clients analysed.
     """
     latest = alerts
     if last_n is not None:
+        sequence = [F.col("seq").desc_nulls_first()] if "seq" in alerts.columns else []
         # the remaining columns break ties, so only identical alerts are interchangeable
         rest = [F.col(c).desc_nulls_last() for c in ALERT_COLUMNS]
-        latest = alerts.select(*ALERT_COLUMNS).orderBy(*rest).limit(last_n)
+        latest = alerts.orderBy(F.col("timestamp").desc_nulls_first(), *sequence, rule_place(F.col("rule_name")).desc(),
+                                *rest).limit(last_n)
     by_kind = (latest.groupingSets([["severity"], ["action"]], "severity", "action")
                .agg(F.count("*").alias("alerts"), F.grouping("severity").alias("_by_action"))
                .select(F.when(F.col("_by_action") == 1, "action").otherwise("severity").alias("dimension"),

@@ -12,8 +12,6 @@ from telemill.functions.topics import repair_topic
 from telemill.operators.ordered import Order, running_totals
 from telemill.schemas import DEVICE_PATTERNS
 
-SALTS = 64
-
 
 def classify_devices(df: DataFrame, sample: str = "Payload_sample", topic: str = "topic") -> DataFrame:
     """One row per (row, device type it mentions); a row may be of several types or none.
@@ -33,17 +31,25 @@ def classify_devices(df: DataFrame, sample: str = "Payload_sample", topic: str =
 def sample_per_device(df: DataFrame, key: str, n: int = 1000, seed: int = 0) -> DataFrame:
     """A uniform sample of at most ``n`` rows per device type, the same for the same seed and key.
 
-    Each salted share of a type is cut to ``n`` first, so no task ranks more than SALTS * n rows of one type
-    beyond what the map side has already cut.
+    Every row draws a number from a hash of seed and key; the ``n`` smallest of a type are its sample. Only rows whose
+    draw is below about 2n / rows of their type are ranked, whatever ``n``; types that come up short (many rows of one
+    key) are ranked whole.
     """
-    draw = F.xxhash64(F.lit(seed), F.col(key))
-    share = Window.partitionBy("device_type", "_salt").orderBy("_draw", key)
-    whole = Window.partitionBy("device_type").orderBy("_draw", key)
-    return (df.withColumn("_draw", draw)
-            .withColumn("_salt", F.pmod(F.col("_draw"), F.lit(SALTS)))
-            .withColumn("_rank", F.row_number().over(share)).where(F.col("_rank") <= n)
-            .withColumn("_rank", F.row_number().over(whole)).where(F.col("_rank") <= n)
-            .drop("_draw", "_salt", "_rank"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
+    drawn = df.withColumns({"_draw": digest, "_place": place})
+    share = F.least(F.lit(1.0), F.lit(2.0 * n + 40) / F.col("_rows"))
+    sizes = F.broadcast(drawn.groupBy("device_type").agg(F.count("*").alias("_rows"))
+                        .select(F.col("device_type").alias("_type"), "_rows", share.alias("_share")))  # a row per type
+    same = F.col("device_type").eqNullSafe(F.col("_type"))
+    sized = drawn.join(sizes, same).drop("_type")
+    below = F.col("_place") < F.col("_share")
+    short = (sized.groupBy("device_type").agg(F.count_if(below).alias("_below"), F.first("_rows").alias("_all"))
+             .select(F.col("device_type").alias("_type"), (F.col("_below") < F.least(F.lit(n), "_all")).alias("_short")))
+    ranked = Window.partitionBy("device_type").orderBy("_draw", key)
+    return (sized.join(F.broadcast(short), same).where(below | F.col("_short"))
+            .withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= n)
+            .select(*df.columns))
 
 
 def device_counts(classified: DataFrame) -> DataFrame:
@@ -51,8 +57,7 @@ def device_counts(classified: DataFrame) -> DataFrame:
     counts = classified.groupBy("device_type").agg(F.count("*").alias("records"))
     known = classified.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(name) for name in DEVICE_PATTERNS])).alias("device_type"))
-    # one row per known type: the size of the broadcast side is fixed
-    return (known.join(F.broadcast(counts), "device_type", "left")
+    return (known.join(counts, "device_type", "left")
             .select("device_type", F.coalesce("records", F.lit(0)).cast("bigint").alias("records")))
 
 

@@ -26,9 +26,11 @@ FIRST, LAST = -(2 ** 63), 2 ** 63 - 1
 # Splitting makes at most twice this many slices over all keys, whatever the input: it bounds the broadcast split
 # points to a few megabytes.
 MOST_SPLITS = 131072
-# Slices per key, a power of two, and the rows sampled to place each split point.
+# Slices per key, and the rows sampled to place each split point.
 MOST_PARTS = 65536
 SAMPLES_PER_PART = 16
+# Split points are looked up in two levels of at most so many, a power of two, whatever their number.
+FAN = 256
 
 
 @dataclass(frozen=True)
@@ -63,11 +65,19 @@ def _join_small(rows: DataFrame, small: DataFrame, keys: tuple[str, ...], how: s
     """Broadcast join on null-safe keys; ``small`` is bounded by MOST_SPLITS."""
     renamed = small.withColumnsRenamed({n: f"_of_{n}" for n in keys})
     same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in keys])
-    return rows.join(F.broadcast(renamed), same, how)
+    return rows.join(F.broadcast(renamed), same, how).drop(*[f"_of_{n}" for n in keys])
 
 
-def split_points(df: DataFrame, order: Order) -> DataFrame:
-    """Key -> ordered split points and search steps, for the keys that are too large for one slice.
+@dataclass(frozen=True)
+class SplitPoints:
+    """Per key every FAN-th split point, and per key and run of FAN the points of that run."""
+
+    coarse: DataFrame
+    fine: DataFrame
+
+
+def split_points(df: DataFrame, order: Order) -> SplitPoints:
+    """Split points of the keys that are too large for one slice.
 
     Bounded for any input: only keys with more than 1/MOST_SPLITS of all rows qualify, and each gets no more
     points than its share. The sample takes rows by a hash of ``seq``, so it is the same in every run.
@@ -85,28 +95,38 @@ def split_points(df: DataFrame, order: Order) -> DataFrame:
     of_key = Window.partitionBy(*order.keys)
     step = F.floor(F.col("_rank") * F.col("_parts") / F.col("_size"))
     step_before = F.floor((F.col("_rank") - 1) * F.col("_parts") / F.col("_size"))
-    return (sample.withColumns({"_rank": F.row_number().over(of_key.orderBy(AT, order.seq)),
-                                "_size": F.count("*").over(of_key)})
-            .where((step > step_before) & (F.col("_rank") < F.col("_size")))
-            .groupBy(*order.keys)
-            .agg(F.sort_array(F.collect_list(F.struct(AT, order.seq))).alias("_points"))
-            .withColumn("_steps", F.filter(
-                F.array(*[F.lit(MOST_PARTS >> i) for i in range(1, MOST_PARTS.bit_length())]),
-                lambda step: step <= F.size("_points"))))
-
-
-def with_slices(df: DataFrame, order: Order, points: DataFrame, only_split: bool = False) -> DataFrame:
+    points = (sample.withColumns({"_rank": F.row_number().over(of_key.orderBy(AT, order.seq)),
+                                  "_size": F.count("*").over(of_key)})
+              .where((step > step_before) & (F.col("_rank") < F.col("_size")))
+              .select(*order.keys, F.struct(AT, order.seq).alias("_point"),
+                      (F.row_number().over(of_key.orderBy(AT, order.seq)) - 1).alias("_index")))
+    listed = F.sort_array(F.collect_list("_point"))
+    first_of_run = (F.col("_index") % FAN == 0) & (F.col("_index") > 0)
+    return SplitPoints(
+        points.groupBy(*order.keys).agg(
+            F.sort_array(F.collect_list(F.when(first_of_run, F.col("_point")))).alias("_points")),
+        points.groupBy(*order.keys, F.floor(F.col("_index") / FAN).cast("int").alias("_run")).agg(listed.alias("_points")))
+
+
+def _passed(points: Column, here: Column) -> Column:
+    """How many of at most FAN ordered points are at or before ``here``, by steps of halving size."""
+    steps = F.array(*[F.lit(FAN >> i) for i in range(FAN.bit_length())])
+    return F.when(points.isNotNull(), F.aggregate(
+        steps, F.lit(0), lambda n, step: F.when(F.get(points, n + step - 1) <= here, n + step).otherwise(n)))
+
+
+def with_slices(df: DataFrame, order: Order, points: SplitPoints, only_split: bool = False) -> DataFrame:
     """Add the order column and the slice of every row, or keep the rows of split keys only.
 
-    The number of split points passed is found by binary search with steps of halving size, as many as the key needs.
+    A row meets the coarse points of its key, then those of one run: its cost doesn't grow with the number of slices.
     """
     rows = df.withColumn(AT, order.at)
     here = F.struct(F.col(AT), F.col(order.seq))
-    passed = F.when(F.col("_points").isNotNull(), F.aggregate(
-        "_steps", F.lit(0),
-        lambda n, step: F.when(F.get("_points", n + step - 1) <= here, n + step).otherwise(n)))
-    return _join_small(rows, points, order.keys, "inner" if only_split else "left").select(
-        *rows.columns, F.coalesce(passed, F.lit(0)).alias(PART))
+    coarse = _join_small(rows, points.coarse, order.keys, "inner" if only_split else "left").select(
+        *rows.columns, _passed(F.col("_points"), here).alias("_run"))
+    found = _join_small(coarse, points.fine, (*order.keys, "_run"), "left")
+    part = F.col("_run") * FAN + F.coalesce(_passed(F.col("_points"), here), F.lit(0))
+    return found.select(*rows.columns, F.coalesce(part, F.lit(0)).alias(PART))
 
 
 def with_seeds(rows: DataFrame, seeds: DataFrame) -> DataFrame:

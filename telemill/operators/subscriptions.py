@@ -12,10 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.topics import filter_regex_column, first_level, topic_matches
+from telemill.functions.topics import topic_matches
 
 SEPARATOR = "/"
-MOST_SHAPES = 256
+SMALL = 50_000  # filters up to this many are sent to every task, more are joined by a shuffle
 
 
 def filter_table(spark, filters: list[str]) -> DataFrame:
@@ -53,36 +53,28 @@ def _candidate(topic: Column, levels: Column, shape: str) -> Column:
 def match_subscriptions(messages: DataFrame, filters: DataFrame, topic: str = "topic") -> DataFrame:
     """One row per (message, filter it falls under); ``filters`` has a column ``filter``.
 
-    The distinct shapes are few and are looked up first. If there are more than MOST_SHAPES, filters are matched
-    by regular expression instead.
+    A shape without literal levels has one filter, so these are tested in place, without a join. Keys of the other
+    shapes are looked up: in every task if the filters are few, else by a shuffle on (shape, literal levels).
     """
     levels = _levels(F.col("filter"))
-    keyed = filters.select("filter", _shape(levels).alias("_shape"), _literal_key(levels).alias("_key")).distinct()
-    shapes = [row[0] for row in keyed.select("_shape").distinct().limit(MOST_SHAPES + 1).collect()]
-    if len(shapes) > MOST_SHAPES:
-        return match_by_regex(messages, filters, topic)
-    topic_levels = F.col("_levels")
-    candidates = [_candidate(F.col(topic), topic_levels, shape) for shape in sorted(shapes)]
-    keys = F.array_compact(F.array(*candidates)) if candidates else F.array().cast(
-        "array<struct<_shape:string,_key:string>>")
-    return (messages.withColumn("_levels", _levels(F.col(topic)))
-            .withColumn("_candidate", F.explode(keys))
-            .select(*messages.columns, "_candidate._shape", "_candidate._key")
-            .join(keyed, ["_shape", "_key"])
-            .select(*messages.columns, "filter"))
-
-
-def match_by_regex(messages: DataFrame, filters: DataFrame, topic: str = "topic") -> DataFrame:
-    """The same join by regular expression: on the first level where it is literal, else on all filters."""
-    patterns = filters.select("filter").distinct().select(
-        "filter", filter_regex_column(F.col("filter")).alias("_regex"), first_level(F.col("filter")).alias("_first"))
-    wild = F.col("_first").isin("+", "#")
-    by_level = patterns.withColumn("_first", F.when(wild, F.lit("+")).otherwise(F.col("_first")))
-    both = F.explode(F.array_distinct(F.array(first_level(F.col(topic)), F.lit("+"))))
-    return (messages.withColumn("_first", both)
-            .join(by_level, "_first")
-            .where(F.rlike(F.col(topic), F.col("_regex")))
-            .select(*messages.columns, "filter"))
+    keyed = filters.select("filter", _shape(levels).alias("_shape"), _literal_key(levels).alias("_key"),
+                           F.exists(levels, lambda level: ~level.isin("+", "#")).alias("_literal")).distinct()
+    shapes = keyed.groupBy("_shape", "_literal").agg(F.count("*").alias("n")).collect()  # a row per shape
+    names, topic_levels = messages.columns, F.col("_levels")
+
+    def candidates(literal: bool) -> Column:
+        found = [_candidate(F.col(topic), topic_levels, row["_shape"]) for row in sorted(shapes) if row["_literal"] == literal]
+        return F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<_shape:string,_key:string>>")
+
+    split = messages.withColumn("_levels", _levels(F.col(topic)))
+    open_ = split.withColumn("_candidate", F.explode(candidates(False))).select(*names, F.col("_candidate._shape").alias("filter"))
+    named = keyed.where("_literal").select("_shape", "_key", "filter")
+    if sum(row["n"] for row in shapes) <= SMALL:
+        named = F.broadcast(named)
+    found = (split.withColumn("_candidate", F.explode(candidates(True)))
+             .select(*names, "_candidate._shape", "_candidate._key")
+             .join(named, ["_shape", "_key"]).select(*names, "filter"))
+    return open_.unionByName(found)
 
 
 def subscribed(messages: DataFrame, filters: list[str], topic: str = "topic") -> DataFrame:

@@ -77,6 +77,12 @@ def detect_all(t: Tables) -> DataFrame:
     return detection.detect(_features(t), keep=("seq",))
 
 
+@query("detect_sliced", f"WITH {RUNNING}, {alerts_sql()} SELECT * FROM alerts", "traffic")
+def detect_sliced(t: Tables) -> DataFrame:
+    """The same with dominant clients cut into slices."""
+    return detection.detect(_features(t), keep=("seq",), max_rows=100)
+
+
 @query("detect_once_per_client", f"""
     WITH {RUNNING}, {alerts_sql()}, placed AS (SELECT alerts.*, row_number() OVER (
       PARTITION BY alerts.client_id, rule_name ORDER BY ts NULLS LAST, seq) AS place
@@ -106,14 +112,30 @@ def high_severity(t: Tables) -> DataFrame:
     return detection.high_severity(detect_all(t))
 
 
-@query("alert_summary", f"""
-    WITH {RUNNING}, {alerts_sql()}, latest AS (
-      SELECT * FROM alerts ORDER BY "timestamp" DESC NULLS LAST, rule_name DESC, severity DESC, client_id DESC,
-        topic DESC NULLS LAST, description DESC, action DESC LIMIT 1000)
+def summary_sql(latest: str) -> str:
+    return f"""
+    WITH {RUNNING}, {alerts_sql()}, latest AS ({latest})
     SELECT 'severity' AS dimension, severity AS name, count(*) AS alerts FROM latest GROUP BY severity
     UNION ALL SELECT 'action', action, count(*) FROM latest GROUP BY action
-    UNION ALL SELECT 'clients', 'analyzed', count(DISTINCT client_id) FROM traffic""", "traffic")
+    UNION ALL SELECT 'clients', 'analyzed', count(DISTINCT client_id) FROM traffic"""
+
+
+@query("alert_summary", summary_sql("SELECT * FROM alerts"), "traffic")
 def alert_summary(t: Tables) -> DataFrame:
+    return detection.alert_summary(detect_all(t), None, t.traffic)
+
+
+# checks of one row, in order
+RULE_PLACES = " ".join(f"WHEN '{RULE_SQL[key][0]}' THEN {i}" for i, key in enumerate((
+    "flood_detection", "topic_enumeration", "wildcard_abuse", "payload_anomaly", "qos_abuse", "system_topic_access",
+    "retain_abuse")))
+
+
+@query("alert_summary_latest", summary_sql(f"""
+    SELECT * FROM alerts ORDER BY "timestamp" DESC NULLS FIRST, seq DESC, CASE rule_name {RULE_PLACES} END DESC
+    LIMIT 1000"""), "traffic")
+def alert_summary_latest(t: Tables) -> DataFrame:
+    """The report over the latest 1,000 alerts."""
     return detection.alert_summary(detect_all(t), 1000, t.traffic)
 
 
@@ -381,7 +403,7 @@ def qos2_stats(t: Tables) -> DataFrame:
 def read_attack_log(t: Tables) -> DataFrame:
     """The QoS 2 log written as its CSV, read with its schema and summarised."""
     path = scratch_path(t.spark, "qos2-log")
-    tables.write_table(t.view("qos2_log").drop("seq", "ts"), path, "csv")
+    t.view("qos2_log").drop("seq", "ts").write.options(**tables.READ_OPTIONS).csv(path)
     return _rounded_qos2(tables.read_attack_log(t.spark, path, "qos2"))
 
 

@@ -95,12 +95,18 @@ def epoch_seconds(t: Tables) -> DataFrame:
 
 
 @query("inter_arrival", f"SELECT seq, client_id, round({GAP}, 6) AS iat_sec FROM traffic", "traffic")
-def inter_arrival(t: Tables) -> DataFrame:
+def inter_arrival(t: Tables, max_rows: int = 100_000) -> DataFrame:
     rows = t.traffic.select("seq", "client_id", "ts")
-    return features.inter_arrival(rows, Order(("client_id",))).select(
+    return features.inter_arrival(rows, Order(("client_id",), max_rows=max_rows)).select(
         "seq", "client_id", F.round("iat_sec", 6).alias("iat_sec"))
 
 
+@query("inter_arrival_sliced", f"SELECT seq, client_id, round({GAP}, 6) AS iat_sec FROM traffic", "traffic")
+def inter_arrival_sliced(t: Tables) -> DataFrame:
+    """The same with dominant clients cut into slices."""
+    return inter_arrival(t, max_rows=100)
+
+
 @query("sort_by_time", "SELECT seq, epoch_us(ts) AS ts_us FROM traffic ORDER BY ts NULLS LAST, seq", "traffic")
 def sort_by_time(t: Tables) -> DataFrame:
     return features.sort_by_time(t.traffic.select("seq", "ts")).select("seq", F.unix_micros("ts").alias("ts_us"))
@@ -120,7 +126,7 @@ def extract_features(t: Tables) -> DataFrame:
     return _flat(features.extract_features(_log_rows(t)))
 
 
-@query("read_features", FEATURES.replace('label AS "Label"', """nullif(label, '') AS "Label" """), "traffic")
+@query("read_features", FEATURES, "traffic")
 def read_features(t: Tables) -> DataFrame:
     path = tables.features_path(scratch_path(t.spark, "processed_traffic"))
     tables.write_features(features.extract_features(_log_rows(t)), path, file_format="csv")
@@ -136,9 +142,20 @@ FILTERS = [
 ]
 
 
-def _filter_list(names: list[str]) -> str:
-    rows = ", ".join(f"('{name}', '{topics.filter_regex(name)}')" for name in names)
-    return f"(VALUES {rows}) AS f(filter, pattern)"
+# the same filters written by hand as patterns of the checking engine, and whether topics under $ are excluded
+PATTERNS = [
+    (r"(?s)\Asite/canonical/[^/]*/device_001/telemetry\z", False), (r"(?s)\Asite/canonical/click(/.*)?\z", False),
+    (r"(?s)\Asite(/.*)?\z", False), (r"(?s)\A.*\z", True), (r"(?s)\A\$SYS(/.*)?\z", False),
+    (r"(?s)\A[^/]*/broker/[^/]*\z", True), (r"(?s)\Asite/[^/]*/view/[^/]*/telemetry\z", False),
+    (r"(?s)\ADoor Lock\z", False), (r"(?s)\A[^/]*\z", True),
+    (r"(?s)\Asite/canonical/error/device_002/telemetry\z", False),
+    (r"(?s)\Asite/canonical/error/device_002/telemetry(/.*)?\z", False), (r"(?s)\A\$SYS/broker/[^/]*\z", False),
+]
+
+
+def _filter_list() -> str:
+    rows = ", ".join(f"('{name}', '{pattern}', {guarded})" for name, (pattern, guarded) in zip(FILTERS, PATTERNS))
+    return f"(VALUES {rows}) AS f(filter, pattern, guarded)"
 
 
 @query("topic_matches", "SELECT seq, " + ", ".join(
@@ -156,9 +173,8 @@ def topic_matches(t: Tables) -> DataFrame:
 
 
 @query("match_subscriptions", f"""
-    SELECT seq, topic, filter FROM traffic JOIN {_filter_list(FILTERS)} ON
-      CASE WHEN pattern LIKE '^(?!\\$)%' THEN topic NOT LIKE '$%' AND regexp_matches(topic, replace(pattern, '(?!\\$)', ''))
-        ELSE regexp_matches(topic, pattern) END""", "traffic")
+    SELECT seq, topic, filter FROM traffic JOIN {_filter_list()}
+      ON regexp_matches(topic, pattern) AND NOT (guarded AND topic LIKE '$%')""", "traffic")
 def match_subscriptions(t: Tables) -> DataFrame:
     return subscriptions.match_subscriptions(
         t.traffic.select("seq", "topic"), subscriptions.filter_table(t.spark, FILTERS))
@@ -197,13 +213,19 @@ def classify_devices(t: Tables) -> DataFrame:
     return _classified(t).select("seq", "device_type")
 
 
-@query("sample_per_device", f"""
-    WITH {DEVICES} SELECT device_type, least(count(*), 300) AS sampled, least(count(DISTINCT seq), 300) AS different
-    FROM classified GROUP BY device_type""", "traffic")
+def _sampled(n: int) -> str:
+    return f"""WITH {DEVICES} SELECT device_type, seq FROM classified
+      QUALIFY row_number() OVER (PARTITION BY device_type ORDER BY md5('0:' || seq), seq) <= {n}"""
+
+
+@query("sample_per_device", _sampled(300), "traffic")
 def sample_per_device(t: Tables) -> DataFrame:
-    """The sampled rows themselves depend on the hash, so the sample sizes are compared."""
-    return devices.sample_per_device(_classified(t), "seq", n=300).groupBy("device_type").agg(
-        F.count("*").alias("sampled"), F.count_distinct("seq").alias("different"))
+    return devices.sample_per_device(_classified(t), "seq", n=300).select("device_type", "seq")
+
+
+@query("sample_per_device_large", _sampled(2000), "traffic")
+def sample_per_device_large(t: Tables) -> DataFrame:
+    return devices.sample_per_device(_classified(t), "seq", n=2000).select("device_type", "seq")
 
 
 @query("device_counts", f"""

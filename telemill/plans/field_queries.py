@@ -249,6 +249,13 @@ def write_canonical(t: Tables) -> DataFrame:
     return tables.read_canonical(t.spark, path).select(*CANONICAL_COLUMNS)
 
 
+@query("write_canonical_csv", canonical_sql("capture"), "traffic")
+def write_canonical_csv(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "canonical-csv")
+    tables.write_canonical(canonical.canonicalize(t.view("capture")), path, file_format="csv")
+    return tables.read_canonical(t.spark, path, "csv").select(*CANONICAL_COLUMNS)
+
+
 @query("scan_mqtt", """
     SELECT protocol, count(*) AS "rows" FROM traffic WHERE protocol = 'mqtt' GROUP BY protocol""", "traffic")
 def scan_mqtt(t: Tables) -> DataFrame:

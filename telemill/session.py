@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,15 +26,20 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``.
+    """A folder that the driver and all executors see.
 
-    Only where the session names none (local tests) is a temporary folder made.
+    ``spark.checkpoint.dir`` where it is set, else a folder below ``spark.sql.warehouse.dir``, which Spark expects to
+    be shared. On a cluster a warehouse path without the scheme of a shared file system is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="telemill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    scheme = warehouse.partition(":")[0] if ":" in warehouse else "file"
+    if scheme == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share; "
+                         f"the warehouse {warehouse!r} is on the driver's own disk")
+    return f"{warehouse}/telemill-scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

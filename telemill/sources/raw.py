@@ -6,7 +6,7 @@ import csv
 import fnmatch
 import logging
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,6 @@ from telemill.operators.canonical import canonicalize_files
 from telemill.schemas import MISSING_CELLS
 
 log = logging.getLogger(__name__)
-HEADER_READERS = 16
 
 
 def list_inputs(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.csv") -> list[str]:
@@ -37,18 +36,27 @@ def list_inputs(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.cs
     return list(found)
 
 
-def read_header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
-    """Column names of one CSV file, null when it cannot be read or is empty."""
-    try:
-        first = spark.read.text(path).head(1)
-    except PySparkException as error:
-        log.warning("unreadable file skipped: %s (%s)", path, error.getCondition())
-        return None
-    return tuple(next(csv.reader([first[0][0].lstrip("﻿")]))) if first and first[0][0] else None
+def read_headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ...]]:
+    """Column names of CSV files, by path, in one job; blank lines before a header are skipped.
 
+    Lines are numbered in their own task, and each task keeps one line per file, so little is shuffled.
+    """
+    if not paths:
+        return {}
+    lines = (spark.read.option("ignoreCorruptFiles", "true").text(paths)
+             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("line"))
+             .where((F.col("block") == 0) & (F.trim(F.regexp_replace("value", "^\ufeff", "")) != "")))
+    first = lines.groupBy("path").agg(F.min_by("value", "line").alias("value")).collect()  # a row per file
+    return {row["path"]: tuple(next(csv.reader([row["value"].lstrip("\ufeff")]))) for row in first}
+
+
+def read_csv_group(spark: SparkSession, paths: list[str], header: tuple[str, ...], multiline: bool = True) -> DataFrame:
+    """Files of one header as text columns; cells that mean "missing" become null.
 
-def read_csv_group(spark: SparkSession, paths: list[str], header: tuple[str, ...], multiline: bool = False) -> DataFrame:
-    """Files of one header as text columns; cells that mean "missing" become null."""
+    A record may span lines, which makes a file the unit of work; ``multiline=False`` lets Spark split files that are
+    known to have one record per line.
+    """
     positions = [f"_{i}" for i in range(len(header))]
     cells = (spark.read.schema(", ".join(f"{p} STRING" for p in positions))
              .csv(paths, header=True, enforceSchema=True, multiLine=multiline, quote='"', escape='"'))
@@ -56,26 +64,33 @@ def read_csv_group(spark: SparkSession, paths: list[str], header: tuple[str, ...
         F.when(~F.col(p).isin(MISSING_CELLS), F.col(p)).alias(p) for p in positions]).toDF(*header)
 
 
-def scan_raw(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.csv", multiline: bool = False) -> list[DataFrame]:
+def _plain(path: str) -> str:
+    """A path as both Spark's file listing and its file metadata write it."""
+    scheme, colon, rest = path.partition(":")
+    return f"{scheme}:/" + unquote(rest).lstrip("/") if colon else "file:/" + unquote(path).lstrip("/")
+
+
+def scan_raw(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.csv", multiline: bool = True) -> list[DataFrame]:
     """One table of text columns per distinct header among the input files.
 
-    Which alias feeds a field depends on the file's header, so files are grouped by header; the headers are read
-    in parallel, one short job per file.
+    Which alias feeds a field depends on the file's header, so files are grouped by header; one job reads all headers.
     """
     paths = list_inputs(spark, inputs, pattern)
-    with ThreadPoolExecutor(HEADER_READERS) as readers:
-        headers = list(readers.map(lambda path: read_header(spark, path), paths))
+    headers = {_plain(path): header for path, header in read_headers(spark, paths).items()}
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path, header in zip(paths, headers):
+    for path in paths:
+        header = headers.get(_plain(path))
         if header:
             groups.setdefault(header, []).append(path)
+        else:
+            log.warning("file without a header skipped: %s", path)
     return [read_csv_group(spark, members, header, multiline) for header, members in groups.items()]
 
 
 def canonicalize_inputs(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.csv",
-                        protocols: list[str] | None = None) -> DataFrame:
+                        protocols: list[str] | None = None, multiline: bool = True) -> DataFrame:
     """Canonical rows of all readable input files."""
-    frames = scan_raw(spark, inputs, pattern)
+    frames = scan_raw(spark, inputs, pattern, multiline)
     if not frames:
         raise FileNotFoundError(f"no input files match {pattern} in {list(inputs)}")
     return canonicalize_files(frames, protocols)

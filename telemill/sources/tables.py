@@ -8,7 +8,26 @@ from pyspark.sql import functions as F
 from telemill.functions.times import parse_ts
 from telemill.schemas import ALERT_COLUMNS, ALERTS_SCHEMA, ATTACK_LOG_SCHEMAS, FEATURES_SCHEMA
 
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+# CSV of others: records may span lines, blanks belong to their cells, columns go by the header.
+READ_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False,
+                "ignoreTrailingWhiteSpace": False, "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+# CSV of our own: a noncharacter stands for null, so that the empty text stays what it is.
+CSV_OPTIONS = READ_OPTIONS | {"nullValue": "\ufdd0", "emptyValue": ""}
+CANONICAL_KINDS = {"qos": "BIGINT", "retain": "BIGINT", "dupflag": "BIGINT", "payload_length": "BIGINT", "msgid": "BIGINT"}
+
+
+def read_own_csv(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFrame:
+    """A CSV table written here; columns by its header, typed by ``kinds``, else text."""
+    names = spark.read.options(**CSV_OPTIONS).csv(path).columns
+    return spark.read.schema(_ddl(names, kinds)).options(**CSV_OPTIONS).csv(path)
+
+
+def _ddl(names: list[str], kinds: dict[str, str]) -> str:
+    return ", ".join(f"`{name}` {kinds.get(name, 'STRING')}" for name in names)
+
+
+def _kinds(ddl: str) -> dict[str, str]:
+    return dict(part.strip().split(" ") for part in ddl.split(","))
 
 
 def write_table(df: DataFrame, path: str, file_format: str = "parquet", mode: str = "errorifexists",
@@ -17,7 +36,7 @@ def write_table(df: DataFrame, path: str, file_format: str = "parquet", mode: st
     rows = Observation()
     writer = df.observe(rows, F.count(F.lit(1)).alias("rows")).write.format(file_format).mode(mode)
     if file_format == "csv":
-        writer = writer.options(**CSV_OPTIONS)
+        writer = writer.options(**CSV_OPTIONS | {"emptyValue": '""'})
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
@@ -30,8 +49,9 @@ def write_canonical(df: DataFrame, path: str, force: bool = False, file_format:
 
 
 def read_canonical(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    reader = spark.read.format(file_format)
-    return (reader.options(**CSV_OPTIONS) if file_format == "csv" else reader).load(path)
+    if file_format == "csv":
+        return read_own_csv(spark, path, CANONICAL_KINDS)
+    return spark.read.format(file_format).load(path)
 
 
 def scan_mqtt(canonical: DataFrame) -> DataFrame:
@@ -51,14 +71,9 @@ def write_features(df: DataFrame, path: str, force: bool = False, file_format: s
 
 
 def read_features(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    reader = spark.read.format(file_format)
     if file_format == "csv":
-        # positions in a CSV file are those of its own header
-        names = reader.options(header=True).load(path).columns
-        kinds = dict(part.strip().split(" ") for part in FEATURES_SCHEMA.split(","))
-        schema = ", ".join(f"`{name}` {kinds.get(name, 'STRING')}" for name in names)
-        return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
-    return reader.load(path)
+        return read_own_csv(spark, path, _kinds(FEATURES_SCHEMA))
+    return spark.read.format(file_format).load(path)
 
 
 def write_alerts(alerts: DataFrame, path: str, file_format: str = "csv") -> int:
@@ -68,7 +83,7 @@ def write_alerts(alerts: DataFrame, path: str, file_format: str = "csv") -> int:
 
 def read_alerts(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame:
     if file_format == "csv":
-        return spark.read.schema(ALERTS_SCHEMA).options(**CSV_OPTIONS).csv(path)
+        return read_own_csv(spark, path, _kinds(ALERTS_SCHEMA))
     return spark.read.format(file_format).load(path)
 
 
@@ -82,4 +97,9 @@ def read_attack_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """One of the nine attack logs, with its time column as ``ts``."""
     if kind not in ATTACK_LOG_SCHEMAS:
         raise ValueError(f"unknown attack log {kind!r}, expected one of {sorted(ATTACK_LOG_SCHEMAS)}")
-    return with_log_ts(spark.read.schema(ATTACK_LOG_SCHEMAS[kind]).options(**CSV_OPTIONS).csv(path))
+    kinds = _kinds(ATTACK_LOG_SCHEMAS[kind])
+    names = spark.read.options(**READ_OPTIONS).csv(path).columns
+    # columns by header, in whatever order; those that the file lacks are null
+    found = spark.read.schema(_ddl(names, kinds)).options(**READ_OPTIONS).csv(path)
+    missing = {name: F.lit(None).cast(kind) for name, kind in kinds.items() if name not in names}
+    return with_log_ts(found.withColumns(missing).select(*kinds))

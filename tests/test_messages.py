@@ -7,6 +7,7 @@ from helpers import at, one
 from pyspark.sql import functions as F
 from test_fields import python_match
 
+from telemill.functions import topics
 from telemill.operators import camera, devices, messages, report, subscriptions
 from telemill.operators.ordered import Order
 
@@ -43,9 +44,30 @@ def test_match_subscriptions(spark):
     df = spark.createDataFrame(list(enumerate(names)), "i INT, topic STRING")
     table = subscriptions.filter_table(spark, filters)
     expected = {(i, f) for i, name in enumerate(names) for f in filters if python_match(name, f)}
-    for match in (subscriptions.match_subscriptions, subscriptions.match_by_regex):
-        got = [(r.i, r.filter) for r in match(df, table).collect()]
-        assert len(got) == len(set(got)) and set(got) == expected
+    got = [(r.i, r.filter) for r in subscriptions.match_subscriptions(df, table).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_many_shapes_and_odd_levels(spark):
+    rng = random.Random(8)
+    level = ["a", "b", "a+b", "x\n", ""]
+    names = ["/".join(rng.choice(level) for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["a\nb", "a/b\n", "a+b/c"]
+    filters = sorted({"/".join(rng.choice(["+", "+", rng.choice(level)]) for _ in range(rng.randint(1, 9)))
+                      + rng.choice(["", "/#"]) for _ in range(1500)} | {"#", "a/b", "a+b/c"})
+    shapes = {"/".join(p if p in "+#" and p else "x" for p in f.split("/")) for f in filters}
+    assert len(shapes) > 500
+    df = spark.createDataFrame(list(enumerate(names)), "i INT, topic STRING")
+    expected = {(i, f) for i, name in enumerate(names) for f in filters if python_match(name, f)}
+    got = [(r.i, r.filter) for r in
+           subscriptions.match_subscriptions(df, subscriptions.filter_table(spark, filters)).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_topic_filter_and_line_breaks(spark):
+    df = spark.createDataFrame([("a/b\n",), ("a\nb",), ("a/b",)], "topic STRING")
+    hits = lambda f: [r.m for r in df.select(topics.topic_matches(F.col("topic"), f).alias("m")).collect()]
+    assert hits("a/b") == [False, False, True]
+    assert hits("#") == [True, True, True]
 
 
 def test_matching_has_no_pairwise_plan(spark):

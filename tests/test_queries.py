@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, differences
+from telemill.plans import catalog
 
 FOLDER = entry.SMALL
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="supplied tables not present")
@@ -28,7 +29,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns[:3] == ["timestamp", "rule_name", "severity"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.PLANS))
 def test_query(spark, db, name):
-    found = entry.queries()[name](spark, FOLDER).toPandas()
-    assert differences(found, db.execute(entry.oracle_sql()[name]).df()).startswith("ok")
+    found = catalog.callables()[name](spark, FOLDER).toPandas()
+    assert differences(found, db.execute(catalog.ORACLES[name]).df()).startswith("ok")
