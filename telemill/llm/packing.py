@@ -77,7 +77,7 @@ def combinations(histogram: np.ndarray, window: int) -> list[tuple[int, ...]]:
 
 
 def solve_repeats(histogram: np.ndarray, recipes: list[tuple[int, ...]], sweeps: int = 3) -> list[int]:
-    """Repeats x >= 0 that minimise |A x - histogram|, by coordinate descent, rounded down to what the bins hold."""
+    """Repeats x >= 0 that minimise |A x - histogram|, by coordinate descent, rounded to what the bins hold."""
     columns = [sorted((length, recipe.count(length)) for length in set(recipe)) for recipe in recipes]
     rest, x = histogram.astype(float).tolist(), [0.0] * len(recipes)
     for _ in range(sweeps):
@@ -94,6 +94,13 @@ def solve_repeats(histogram: np.ndarray, recipes: list[tuple[int, ...]], sweeps:
         for a, m in column:
             left[a] -= n * m
         whole.append(n)
+    # what rounding left over is taken by the first recipes that still fit
+    for j, column in enumerate(columns):
+        n = min(left[a] // m for a, m in column)
+        if n:
+            for a, m in column:
+                left[a] -= n * m
+            whole[j] += n
     return whole
 
 
