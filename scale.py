@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,8 @@ def enlarged(t: Tables, copies: int) -> DataFrame:
 def main() -> None:
     copies, cpus = int(os.environ.get("SCALE_FACTOR", "40")), os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").config("spark.ui.enabled", "false")
-             .config("spark.sql.shuffle.partitions", "32").config("spark.driver.memory", "16g").getOrCreate())
+             .config("spark.sql.shuffle.partitions", "32").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="telemill-"))  # one machine
+             .config("spark.driver.memory", "16g").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     t = Tables(spark, "/root/testdata/sf0.1")
     folder = scratch_path(spark, "scale")
