@@ -3,7 +3,7 @@
 from datetime import datetime
 
 import pytest
-from helpers import at, evaluate, feature_rows
+from helpers import evaluate, feature_rows
 from pyspark.sql import functions as F
 
 from telemill import session
@@ -127,4 +127,3 @@ def test_latest_alerts(spark):
     assert latest == {("severity", "MEDIUM"), ("action", "ALERT")}  # the alert without a timestamp
     two = {(r.dimension, r.name): r.alerts for r in detection.alert_summary(made, 2).collect()}
     assert two[("severity", "HIGH")] == 1  # of the row before it the check made last
-    assert at(0) is not None
