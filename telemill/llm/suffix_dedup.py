@@ -87,7 +87,7 @@ def _doc_ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_digits(source: DataFrame, width: int) -> DataFrame:
-    """First pass: doc_id and starts (array) of the runs whose digit several documents have."""
+    """First pass: doc_id and starts (array) of the runs whose digit several documents have, and the smallest digit."""
     def run(batches):
         for rows, data, offsets in blocks(batches, "text"):
             runs = Runs(data, offsets, width)
@@ -110,13 +110,17 @@ def shared_digits(source: DataFrame, width: int) -> DataFrame:
 
     rows = source.mapInArrow(run, "digit long, doc_id long, at long, sure boolean, salt int")
     same = Window.partitionBy("digit", "salt")
-    shared = rows.select("doc_id", "at", "sure", F.min("doc_id").over(same).alias("low"),
+    shared = rows.select("doc_id", "at", "sure", "digit", F.min("doc_id").over(same).alias("low"),
                          F.max("doc_id").over(same).alias("high")).filter("sure OR low < high")
-    return shared.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    return shared.groupBy("doc_id").agg(F.collect_list("at").alias("starts"), F.min("digit").alias("family"))
 
 
 def carried_runs(source: DataFrame, shared: DataFrame, width: int) -> DataFrame:
-    """The shared runs with their bytes; runs that repeat within a block are covered at once and carry none."""
+    """The shared runs with their bytes; runs that repeat within a block are covered at once and carry none.
+
+    Copies mostly have the same smallest digit, so documents are dealt by it: most of what copies share is settled within
+    a block. Spark splits the partitions of large families.
+    """
     def run(batches):
         for rows, data, offsets in blocks(batches, "text"):
             runs = Runs(data, offsets, width)
@@ -143,7 +147,8 @@ def carried_runs(source: DataFrame, shared: DataFrame, width: int) -> DataFrame:
                 ["digit", "doc_id", "start", "end", "anchor", "text_hash", "span"])
 
     names = ["doc_id", "text", "text_hash", "starts"]
-    return source.join(shared, "doc_id").select(*names).mapInArrow(
+    dealt = source.join(shared, "doc_id").select(*names, "family").hint("rebalance", "family")
+    return dealt.sortWithinPartitions("family", "doc_id").mapInArrow(
         run, "digit long, doc_id long, start long, end long, anchor int, text_hash int, span binary")
 
 
