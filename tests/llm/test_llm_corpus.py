@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +182,47 @@ def test_search_recall_and_small_tables(spark):
     few = made.where("vec_id < 3")
     assert sorted((g.query_id, g.vec_id) for g in ann.search(few, F.lit(True)).collect()) == [
         (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
+
+
+def random_vectors(spark, folder, n, dimension, seed=5):
+    r = np.random.default_rng(seed)
+    points = r.normal(size=(n, dimension)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    values = pa.array(points.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(values, dimension).cast(
+        pa.list_(pa.float32()))}), f"{folder}/vectors.parquet", row_group_size=n // 8)
+    return points.astype(np.float64), spark.read.parquet(f"{folder}/vectors.parquet")
+
+
+def recall(got, points, queries):
+    found = {(g.query_id, g.vec_id) for g in got}
+    true = {(q, int(i)) for q in queries for i in np.argsort(((points - points[q]) ** 2).sum(1), kind="stable")[1:11]}
+    assert len(got) == len(true)
+    return len(found & true) / len(true)
+
+
+@pytest.mark.parametrize("n", [130_000, 200_000])
+def test_search_recall_does_not_fall_with_the_table(spark, tmp_path, n):
+    points, made = random_vectors(spark, tmp_path, n, 64)
+    got = ann.search(made, F.col("vec_id") % (n // 40) == 0).collect()
+    assert recall(got, points, range(0, n, n // 40)) >= 0.95
+
+
+def test_visit_is_measured(spark, tmp_path, monkeypatch):
+    n = 20_000
+    monkeypatch.setattr(ann, "SEARCH", 100)  # so that the least is far too little, and the trees are worth it
+    monkeypatch.setattr(ann, "WORTH", 3.0)
+    monkeypatch.setattr(ann, "dealt", None)  # the comparison with all isn't taken
+    points, made = random_vectors(spark, tmp_path, n, 24)
+    got = ann.search(made, F.col("vec_id") % 100 == 0).collect()
+    assert recall(got, points, range(0, n, 100)) >= 0.95
+    less = ann.search(made, F.col("vec_id") % 100 == 0, visit=1000).collect()
+    assert recall(less, points, range(0, n, 100)) < 0.95
+
+
+def test_comparison_with_all_is_exact(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 7)  # several rounds and blocks
+    points, made = random_vectors(spark, tmp_path, 900, 6)
+    rows = {i: p for i, p in enumerate(points)}
+    got = sorted(map(tuple, ann.search(made, F.col("vec_id") % 20 == 0).collect()))
+    assert got == sorted(x for i in range(0, 900, 20) for x in neighbours(rows, i, 10))
