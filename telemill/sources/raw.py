@@ -39,11 +39,12 @@ def list_inputs(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.cs
 def read_headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ...]]:
     """Column names of CSV files, by path, in one job; blank lines before a header are skipped.
 
-    Lines are numbered in their own task, and each task keeps one line per file, so little is shuffled.
+    Lines are numbered in their own task, and each task keeps one line per file, so little is shuffled. A file that can't
+    be read fails the job, after Spark's retries: left out here, all its rows would be missing.
     """
     if not paths:
         return {}
-    lines = (spark.read.option("ignoreCorruptFiles", "true").text(paths)
+    lines = (spark.read.text(paths)
              .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("line"))
              .where((F.col("block") == 0) & (F.trim(F.regexp_replace("value", "^\ufeff", "")) != "")))

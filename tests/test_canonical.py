@@ -2,6 +2,8 @@
 
 import pytest
 from helpers import one
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from telemill.operators import canonical
@@ -119,3 +121,13 @@ def test_canonicalize_needs_no_shuffle(spark):
     table = raw_table(spark, timestamp="1", protocol="MQTT").withColumn("x", F.lit(1))
     plan = canonical.canonicalize(table)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_unreadable_files_fail(spark, tmp_path):
+    """A file whose header can't be read isn't left out like one without a header."""
+    (tmp_path / "a.csv").write_text("timestamp,protocol\n1,MQTT\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "b.csv.gz").write_bytes(b"not compressed")
+    assert len(raw.scan_raw(spark, [str(tmp_path)])) == 1
+    with pytest.raises((PySparkException, Py4JJavaError), match="b.csv.gz"):
+        raw.scan_raw(spark, [str(tmp_path)], pattern="*.csv*")
