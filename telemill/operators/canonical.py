@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from telemill.functions.numbers import numeric_field, to_number
@@ -138,24 +138,32 @@ def canonical_projection(fields: RawFields) -> dict[str, Column]:
     return columns
 
 
-def canonicalize(df: DataFrame, protocols: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+def canonicalize(df: DataFrame, protocols: list[str] | None = None, keep: list[str] | None = None,
+                 rejects: Observation | None = None) -> DataFrame:
     """One raw table to the 20 canonical columns; rows need a timestamp and an allowed protocol.
 
     A single projection and filter: nothing is shuffled. ``keep`` names raw columns to pass through
-    (a sequence number, say).
+    (a sequence number, say). ``rejects`` observes ``rows``, ``no_timestamp`` and ``protocol`` (another protocol, with a
+    timestamp) in the same pass; filters on the result don't reach the scan then, for every row is counted.
     """
     fields = RawFields(df)
     columns = canonical_projection(fields)
     passed = [fields.column(name).alias(name) for name in keep or []]
     allowed = allowed_protocols() if protocols is None else protocols
-    return (fields.frame
-            .select(*[columns[name].alias(name) for name in CANONICAL_COLUMNS], *passed)
-            .where((F.col("timestamp") != "") & F.col("protocol").isin(allowed)))
+    stamped, named = F.col("timestamp") != "", F.col("protocol").isin(allowed)
+    rows = fields.frame.select(*[columns[name].alias(name) for name in CANONICAL_COLUMNS], *passed)
+    if rejects is not None:
+        rows = rows.observe(rejects, F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(stamped, F.lit(False))).alias("no_timestamp"),
+                            F.count_if(stamped & ~F.coalesce(named, F.lit(False))).alias("protocol"))
+    return rows.where(stamped & named)
 
 
-def canonicalize_files(frames: list[DataFrame], protocols: list[str] | None = None) -> DataFrame:
-    """Canonical rows of several raw tables, each resolved by its own header."""
+def canonicalize_files(frames: list[DataFrame], protocols: list[str] | None = None,
+                       rejects: list[Observation] | None = None) -> DataFrame:
+    """Canonical rows of several raw tables, each resolved by its own header; ``rejects`` gets an observation per table."""
     if not frames:
         raise ValueError("no input tables")
-    return reduce(DataFrame.unionByName, [canonicalize(frame, protocols) for frame in frames])
-
+    observed = [None] * len(frames) if rejects is None else [Observation() for _ in frames]
+    if rejects is not None:
+        rejects += observed
+    return reduce(DataFrame.unionByName, [canonicalize(f, protocols, rejects=o) for f, o in zip(frames, observed)])

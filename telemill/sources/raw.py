@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.operators.canonical import canonicalize_files
@@ -52,15 +52,21 @@ def read_headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str,
     return {row["path"]: tuple(next(csv.reader([row["value"].lstrip("\ufeff")]))) for row in first}
 
 
-def read_csv_group(spark: SparkSession, paths: list[str], header: tuple[str, ...], multiline: bool = True) -> DataFrame:
+def read_csv_group(spark: SparkSession, paths: list[str], header: tuple[str, ...], multiline: bool = True,
+                   malformed: Observation | None = None) -> DataFrame:
     """Files of one header as text columns; cells that mean "missing" become null.
 
     A record may span lines, which makes a file the unit of work; ``multiline=False`` lets Spark split files that are
-    known to have one record per line.
+    known to have one record per line. Surplus cells of a record are dropped, missing ones are null; ``malformed`` observes
+    the number of such records, for which every cell is read.
     """
     positions = [f"_{i}" for i in range(len(header))]
-    cells = (spark.read.schema(", ".join(f"{p} STRING" for p in positions))
-             .csv(paths, header=True, enforceSchema=True, multiLine=multiline, quote='"', escape='"'))
+    names = positions if malformed is None else [*positions, "_malformed"]
+    cells = (spark.read.schema(", ".join(f"{p} STRING" for p in names))
+             .csv(paths, header=True, enforceSchema=True, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE",
+                  columnNameOfCorruptRecord="_malformed"))
+    if malformed is not None:
+        cells = cells.observe(malformed, F.count("_malformed").alias("malformed"))
     return cells.select(*[
         F.when(~F.col(p).isin(MISSING_CELLS), F.col(p)).alias(p) for p in positions]).toDF(*header)
 
@@ -71,8 +77,9 @@ def _plain(path: str) -> str:
     return f"{scheme}:/" + unquote(rest).lstrip("/") if colon else "file:/" + unquote(path).lstrip("/")
 
 
-def scan_raw(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.csv", multiline: bool = True) -> list[DataFrame]:
-    """One table of text columns per distinct header among the input files.
+def scan_raw(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.csv", multiline: bool = True,
+             malformed: list[Observation] | None = None) -> list[DataFrame]:
+    """One table of text columns per distinct header among the input files; ``malformed`` gets an observation per table.
 
     Which alias feeds a field depends on the file's header, so files are grouped by header; one job reads all headers.
     """
@@ -85,13 +92,22 @@ def scan_raw(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.csv",
             groups.setdefault(header, []).append(path)
         else:
             log.warning("file without a header skipped: %s", path)
-    return [read_csv_group(spark, members, header, multiline) for header, members in groups.items()]
+    observed = [None] * len(groups) if malformed is None else [Observation() for _ in groups]
+    if malformed is not None:
+        malformed += observed
+    return [read_csv_group(spark, members, header, multiline, o) for (header, members), o in zip(groups.items(), observed)]
 
 
 def canonicalize_inputs(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.csv",
-                        protocols: list[str] | None = None, multiline: bool = True) -> DataFrame:
-    """Canonical rows of all readable input files."""
-    frames = scan_raw(spark, inputs, pattern, multiline)
+                        protocols: list[str] | None = None, multiline: bool = True,
+                        rejects: list[Observation] | None = None) -> DataFrame:
+    """Canonical rows of all input files.
+
+    ``rejects`` gets two observations per distinct header, filled by the first action on the result: ``malformed`` of all
+    tables first, then ``rows``, ``no_timestamp`` and ``protocol`` of all tables. The action should read the rows once, like
+    a write; what samples them first (a global sort) counts them twice.
+    """
+    frames = scan_raw(spark, inputs, pattern, multiline, rejects)
     if not frames:
         raise FileNotFoundError(f"no input files match {pattern} in {list(inputs)}")
-    return canonicalize_files(frames, protocols)
+    return canonicalize_files(frames, protocols, rejects)

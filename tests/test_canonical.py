@@ -131,3 +131,18 @@ def test_unreadable_files_fail(spark, tmp_path):
     assert len(raw.scan_raw(spark, [str(tmp_path)])) == 1
     with pytest.raises((PySparkException, Py4JJavaError), match="b.csv.gz"):
         raw.scan_raw(spark, [str(tmp_path)], pattern="*.csv*")
+
+
+def test_rejected_rows_are_counted(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        "timestamp,protocol,topic\n1,MQTT,a\nnever,MQTT,b\n,FTP,c\n2,FTP,d\n3,FTP,e\n4,MQTT,f,surplus\n5,MQTT\n")
+    (tmp_path / "b.csv").write_text('Time,protocol\n1,MQTT\n"never\n",MQTT\n')
+    rejects = []
+    rows = raw.canonicalize_inputs(spark, [str(tmp_path)], rejects=rejects)
+    assert sorted(map(tuple, rows.select("topic", "protocol").collect())) == [
+        ("", "MQTT"), ("", "MQTT"), ("a", "MQTT"), ("f", "MQTT")]
+    assert [o.get for o in rejects] == [
+        {"malformed": 2}, {"malformed": 0}, {"rows": 7, "no_timestamp": 2, "protocol": 2},
+        {"rows": 2, "no_timestamp": 1, "protocol": 0}]
+    plain = raw.canonicalize_inputs(spark, [str(tmp_path)])
+    assert sorted(plain.collect()) == sorted(rows.collect())
