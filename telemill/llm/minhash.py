@@ -11,8 +11,10 @@ similarity 0.8 differ in 16 of 80 symbols on average; more than 31 is 4.3 standa
 3. In buckets that still hold several components every pair across components under the distance is looked at, in the
    first bucket that it shares: documents with such a pair bring their full sets to that bucket, where shared shingles
    are counted exactly and only links that join two components are returned. Pairs within a component can't change it,
-   so no link is lost, and neither step makes more rows than there are entries in buckets. A bucket of more than
-   ``BLOCK`` documents is dealt into pairs of blocks, so that no task holds more than two blocks.
+   so no link is lost.
+
+A bucket of more than ``BLOCK`` documents is dealt into blocks, so that no work holds more than about two of them: partners
+are sought within a block, where the bucket's smallest document is a hub of each, and step 3 looks at pairs of blocks.
 
 Defined cases: texts without words (null ones too) are empty and linked with nothing; rows of null id are linked with
 nothing, their component is null and they are kept; rows of equal id share a component if their sets do, and are kept
@@ -151,9 +153,9 @@ def _groups(batches, keys: list[str]):
 
 
 def _by_bucket(frame: DataFrame, work, columns: list[str]) -> DataFrame:
-    """Calls ``work(bucket, place, docs, components, signatures)`` for each bucket and returns its columns of longs."""
+    """Calls ``work(bucket, place, docs, components, signatures)`` for each part of a bucket; returns its columns of longs."""
     def run(batches):
-        for table, edge in _groups(batches, ["bucket"]):
+        for table, edge in _groups(batches, ["bucket", "part"]):
             bucket, place, doc, component = (table.column(c).to_numpy() for c in ("bucket", "place", "doc_id", "component"))
             raw = b"".join(table.column("signature").to_pylist())
             signature = np.frombuffer(raw, np.uint16).reshape(len(bucket), SYMBOLS)
@@ -163,11 +165,33 @@ def _by_bucket(frame: DataFrame, work, columns: list[str]) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], columns)
 
-    taken = ["bucket", "place", "doc_id", "component", "signature"]
-    return (frame.select(*taken).repartition(partitions(frame.sparkSession), "bucket").sortWithinPartitions("bucket", "doc_id")
+    taken = ["bucket", "part", "place", "doc_id", "component", "signature"]
+    return (frame.select(*taken).repartition(partitions(frame.sparkSession), "bucket", "part")
+            .sortWithinPartitions("bucket", "part", "doc_id")
             .mapInArrow(run, ", ".join(f"{c} long" for c in columns)))
 
 
+def _in_blocks(entries: DataFrame) -> DataFrame:
+    """Entries with the part (block) of their bucket; its smallest document is in all of them."""
+    blocks_, block = _block()
+    every = F.sequence(F.lit(0).cast("long"), blocks_ - 1)
+    return entries.withColumn("part", F.explode(F.when(F.col("doc_id") == F.col("low"), every).otherwise(F.array(block))))
+
+
+def _in_pairs(entries: DataFrame) -> DataFrame:
+    """Entries with the parts (pairs of blocks) of their bucket that their block is in."""
+    blocks_, block = _block()
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks_ - 1))
+    dealt = entries.withColumn("blocks", blocks_).withColumn("block", block).withColumn("other", other)
+    return dealt.withColumn("part", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+
+
+def _block() -> tuple[F.Column, F.Column]:
+    """The number of blocks of a bucket of ``size`` documents, and a document's block."""
+    blocks_ = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
+    return blocks_, F.pmod(F.xxhash64("doc_id"), blocks_)
+
+
 def _nearest(bucket: int, place: int, doc: np.ndarray, component: np.ndarray, signature: np.ndarray):
     """Each document with its nearest partner (a, b, distance)."""
     n = len(doc)
@@ -304,11 +328,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, id_col: st
     classes = keep(described.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same)
                    .agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature")), "classes")
     shared = buckets(classes)
-    several = shared.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    entries = keep(shared.join(several, "bucket", "left_semi"), "buckets")
+    several = shared.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("size")).filter("low < high")
+    entries = keep(shared.join(several.drop("high"), "bucket"), "buckets")
     free_shuffles(spark)
     signature = classes.select("doc_id", "signature")
-    named = _by_bucket(entries.withColumn("component", F.col("doc_id")).join(signature, "doc_id"), _nearest,
+    named = _by_bucket(_in_blocks(entries).withColumn("component", F.col("doc_id")).join(signature, "doc_id"), _nearest,
                        ["a", "b", "distance"])
     best = named.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     pairs = keep(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -319,8 +343,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, id_col: st
     found = components(links)
     labelled = entries.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    involved = keep(_by_bucket(labelled.join(open_, "bucket", "left_semi").join(signature, "doc_id"), _across,
-                               ["bucket", "doc_id", "component"]), "involved")
+    involved = keep(_by_bucket(_in_pairs(labelled.join(open_, "bucket", "left_semi")).join(signature, "doc_id"), _across,
+                               ["bucket", "doc_id", "component"]).distinct(), "involved")
     free_shuffles(spark)
     more = keep(links_across(involved, sets, share), "links")
     if not more.isEmpty():

@@ -136,6 +136,29 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert {r.doc_id for r in kept.collect()} == {i for i in label if label[i] == i} | {None}
 
 
+def test_large_buckets_are_dealt_before_signatures_meet(spark, monkeypatch, tmp_path):
+    """No call holds a whole bucket of differing near copies, and the components are the same."""
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+
+    def told(name):
+        work = getattr(minhash, name)
+
+        def run(bucket, place, doc, component, signature):
+            (tmp_path / f"{name}_{len(doc)}").touch()
+            return work(bucket, place, doc, component, signature)
+
+        monkeypatch.setattr(minhash, name, run)
+
+    told("_nearest")
+    told("_across")
+    rows = list(enumerate([*family(1, 200, 12), *[prose(100 + k, 50) for k in range(20)]]))
+    label, _ = brute_components(rows, 4, 80)
+    got = minhash.near_duplicates(frame(spark, rows), 4, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == label
+    sizes = [int(p.name.rsplit("_", 1)[1]) for p in tmp_path.iterdir()]
+    assert 2 < max(sizes) <= 100
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     assert minhash.near_duplicates(frame(spark, [(1, None), (2, "")])).count() == 2
