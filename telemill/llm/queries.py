@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import ann, chat, chunk_codec, minhash, packing, quality, suffix_dedup, token_counts, token_files, toxicity
+from telemill.llm import (ann, chat, chunk_codec, conversation_trie, filter_audit, html_extract, minhash, packing, quality,
+                          suffix_dedup, token_counts, token_files, toxicity)
 from telemill.llm.runtime import table
 from telemill.session import scratch_path
 
@@ -64,6 +65,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("letter")
+
+
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(conversation_trie.rebuild(table(spark, sf_dir, "conversations"), 100, 6))
+
+
 QUERIES = {name: query for name, query in globals().items() if name.startswith("op")}
 
 ORACLES: dict[str, str] = {
@@ -125,4 +138,66 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
   (sum(text_chars) + sum(CASE WHEN goes_on THEN 8 ELSE 24 + role_chars END))::BIGINT AS formatted_chars
 FROM o GROUP BY conv_id""",
+    "op11_filter_audit": r"""
+WITH RECURSIVE lab AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+  FROM labels GROUP BY doc_id),
+w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+m AS (SELECT w.doc_id, part, good, toxic, (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM w LEFT JOIN lab ON lab.doc_id = w.doc_id),
+o AS (SELECT '' AS filter_order, 0 AS applied UNION ALL
+  SELECT filter_order || letter, applied | bit FROM o JOIN (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(letter, bit)
+    ON applied & bit = 0),
+s AS (SELECT w.filter_order, length(p.filter_order) AS step, p.applied, p.applied - b.applied AS bit, b.applied AS before
+  FROM o w JOIN o p ON starts_with(w.filter_order, p.filter_order)
+  JOIN o b ON starts_with(p.filter_order, b.filter_order) AND length(b.filter_order) = length(p.filter_order) - 1
+  WHERE length(w.filter_order) = 5),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM m GROUP BY ALL),
+r AS (SELECT part, filter_order, step, bit,
+  sum(CASE WHEN mask & applied = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n_good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM s CROSS JOIN c GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
+    "op12_html_extract": r"""
+WITH b AS (SELECT page_id, url, list_filter(list_transform(
+    regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:h1|p)>'),
+    lambda x: trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'),
+      '&quot;?', '"', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))),
+    lambda x: x <> '') AS blocks FROM pages),
+t AS (SELECT page_id, url, regexp_replace(array_to_string(blocks, chr(10) || chr(10)), '&amp($|\n)', '&\1', 'g') AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t""",
+    "op13_conversation_trie": r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS size, conv_id - conv_id % 100 AS base, xor(list_reduce(list_concat([4294967295::BIGINT],
+    flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))),
+    lambda a, x: CASE WHEN x < 256 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
+  FROM t GROUP BY conv_id),
+k AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.size, 0)) AS lead FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT t.conv_id, pos - h + lead AS depth, role, text FROM t JOIN k ON k.conv_id = t.conv_id WHERE pos > h
+  UNION ALL SELECT k.conv_id, pos, role, text FROM t JOIN k ON k.base = t.conv_id WHERE pos <= lead),
+p AS (SELECT conv_id, depth, length(text) AS chars, string_agg(sha256(role || chr(10) || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix
+  FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+e AS (SELECT conv_id, max(depth) AS last FROM p GROUP BY conv_id),
+n AS (SELECT depth, prefix, min(p.conv_id) AS node, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+    sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (last = depth), '')) AS ends_sha256
+  FROM p JOIN e ON e.conv_id = p.conv_id GROUP BY depth, prefix),
+a AS (SELECT p.conv_id, p.depth, node FROM p JOIN n ON n.depth = p.depth AND n.prefix = p.prefix),
+v AS (SELECT n.*, a.node AS above FROM n LEFT JOIN a ON a.conv_id = n.node AND a.depth = n.depth - 1),
+f AS (SELECT v.*, count(w.node) AS n_children FROM v LEFT JOIN v w ON w.above = v.node AND w.depth = v.depth + 1 GROUP BY ALL),
+s AS (SELECT a.node, a.depth, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(f.saved) AS saved_tokens
+  FROM f JOIN a ON a.conv_id = f.node AND a.depth <= f.depth GROUP BY a.node, a.depth)
+SELECT f.node AS conv_id, f.depth::BIGINT AS depth, f.above AS parent_conv_id, f.n_convs, f.n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM f JOIN s ON s.node = f.node AND s.depth = f.depth""",
 }

@@ -47,7 +47,16 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = scratch_path(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    kept = spark.read.schema(frame.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Delete what ``keep`` has written, once nothing will read it again."""
+    context = kept.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(kept.kept_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
