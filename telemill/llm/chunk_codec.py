@@ -11,7 +11,6 @@ each (from the same chunks); an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -19,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import ship
-from telemill.llm.tokens import Encoder, encoder
+from telemill.llm.runtime import held, ship
+from telemill.llm.tokens import Encoder
 from telemill.llm.words import Hasher, Memo, blocks, pick, sums, words
 
 WINDOW = 16
@@ -144,9 +143,9 @@ class ChunkCodec:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str) -> ChunkCodec:
-    return ChunkCodec(encoder(path))
+    """One per worker process, kept for its later tasks."""
+    return held(("codec", path), lambda: ChunkCodec(Encoder(path)))
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

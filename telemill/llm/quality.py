@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import filter_texts, ship
+from telemill.llm.runtime import drop_held, filter_texts, ship
 from telemill.llm.words import WHITE, Hasher, blocks, mix, sums, words
 
 SAMPLE_DOCS = 4000  # labelled documents that the chain is trained on, at most
@@ -82,8 +82,10 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> Measures:
     duplicate = np.ones(len(key), bool)
     duplicate[np.unique(key, return_index=True)[1]] = False
 
+    count = np.int32 if len(data) < 1 << 31 else np.int64
+
     def per_line(flags: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(flags) + 1, np.int64)
+        total = np.zeros(len(flags) + 1, count)
         np.cumsum(flags, out=total[1:])
         return total[l_end] - total[l_start]
 
@@ -242,6 +244,7 @@ def judge(docs: DataFrame, chain: Chain | None, content_share: float = 0.5, id_c
     ship(docs.sparkSession)
 
     def run(batches):
+        drop_held()
         for rows, data, offsets in blocks(batches, "text"):
             m = measure(data, offsets)
             failed, share, kept = verdicts(m, chain, content_share)
@@ -259,5 +262,8 @@ def judge(docs: DataFrame, chain: Chain | None, content_share: float = 0.5, id_c
 
 def keep_good(docs: DataFrame, chain: Chain | None, content_share: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows that ``judge`` keeps, with all their columns."""
-    return filter_texts(docs, text_col,
-                        lambda data, offsets: verdicts(measure(data, offsets), chain, content_share)[2])
+    def prepare():
+        drop_held()
+        return lambda data, offsets: verdicts(measure(data, offsets), chain, content_share)[2]
+
+    return filter_texts(docs, text_col, prepare)

@@ -34,6 +34,27 @@ def ship(spark: SparkSession) -> None:
     context._telemill_shipped = True
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a worker keeps for its later tasks. One thing at a time: a stage that holds another, or none, drops it."""
+    if key not in _held:
+        drop_held()
+        _held[key] = make()
+    return _held[key]
+
+
+def drop_held() -> None:
+    """Give back what an earlier stage has left in this worker."""
+    if _held:
+        import pyarrow as pa
+
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,8 +96,11 @@ def spare_name(frame: DataFrame, name: str) -> str:
     return name
 
 
-def filter_texts(docs: DataFrame, text_col: str, decide) -> DataFrame:
-    """The rows for whose texts ``decide(bytes, offsets)`` is true, all columns as they are; one narrow pass."""
+def filter_texts(docs: DataFrame, text_col: str, prepare) -> DataFrame:
+    """The rows whose texts pass, all columns as they are; one narrow pass.
+
+    ``prepare()`` is called once a task and gives ``decide(bytes, offsets)``, which is true for texts that stay.
+    """
     from telemill.llm.words import blocks
     import pyarrow as pa
 
@@ -84,6 +108,7 @@ def filter_texts(docs: DataFrame, text_col: str, decide) -> DataFrame:
     name = spare_name(docs, "text_bytes")
 
     def run(batches):
+        decide = prepare()
         for rows, data, offsets in blocks(batches, name):
             yield rows.select(rows.schema.names[:-1]).filter(pa.array(decide(data, offsets)))
 

@@ -27,12 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import free_shuffles, keep, partitions, ship, spare_name
+from telemill.llm.runtime import drop_held, free_shuffles, keep, partitions, ship, spare_name
 from telemill.llm.words import Hasher, blocks
 
 GRAM = 16
 SALTS = 64
 RUNS_AT_ONCE = 20_000
+SETTLED = 4 << 20  # bytes of text whose repeats are settled with each other before anything is shuffled
 
 
 class Runs:
@@ -89,7 +90,8 @@ def _doc_ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def shared_digits(source: DataFrame, width: int) -> DataFrame:
     """First pass: doc_id and starts (array) of the runs whose digit several documents have, and the smallest digit."""
     def run(batches):
-        for rows, data, offsets in blocks(batches, "text"):
+        drop_held()
+        for rows, data, offsets in blocks(batches, "text", SETTLED):
             runs = Runs(data, offsets, width)
             text = np.searchsorted(offsets, runs.start, "right") - 1
             ids, valid = _doc_ids(rows)
@@ -122,7 +124,8 @@ def carried_runs(source: DataFrame, shared: DataFrame, width: int) -> DataFrame:
     a block. Spark splits the partitions of large families.
     """
     def run(batches):
-        for rows, data, offsets in blocks(batches, "text"):
+        drop_held()
+        for rows, data, offsets in blocks(batches, "text", SETTLED):
             runs = Runs(data, offsets, width)
             text = np.searchsorted(offsets, runs.start, "right") - 1
             ids, _ = _doc_ids(rows)

@@ -11,7 +11,6 @@ empty table gives an empty result; all other columns of the input are ignored, w
 
 from __future__ import annotations
 
-import functools
 import heapq
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import ship
+from telemill.llm.runtime import held, ship
 from telemill.llm.words import Memo, blocks, remembered, sums
 
 SPACE = "▁"  # how the vocabulary writes a space
@@ -111,9 +110,9 @@ class PieceCounter:
         return sums(counts, np.searchsorted(starts, offsets, "left"))
 
 
-@functools.lru_cache(maxsize=2)
 def counter(model_path: str) -> PieceCounter:
-    return PieceCounter(model_path)
+    """One per worker process, kept for its later tasks."""
+    return held(("counter", model_path), lambda: PieceCounter(model_path))
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int, id_col: str = "doc_id",

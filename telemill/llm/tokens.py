@@ -6,7 +6,6 @@ string of a special token go to the library whole.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import os
@@ -14,6 +13,7 @@ import re
 
 import numpy as np
 
+from telemill.llm.runtime import held
 from telemill.llm.words import WHITE, Memo, remembered, sums, words
 
 _LETTER = np.zeros(256, bool)
@@ -138,7 +138,6 @@ class Encoder:
         return np.array(sorted(found), np.int64)
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per worker process, kept for its later tasks."""
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))

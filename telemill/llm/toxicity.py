@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import filter_texts, ship
+from telemill.llm.runtime import filter_texts, held, ship
 from telemill.llm.words import LOWER, Memo, blocks, remembered, sums, words
 
 SAMPLE_DOCS = 8000  # labelled documents learnt from, at most
@@ -83,7 +83,7 @@ class Distance:
             return zstd.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress
 
         self.ordinary, self.toxic = compressor(ordinary), compressor(toxic)
-        self.memo = Memo(np.int16, 2_000_000)
+        self.memo = Memo(np.int16, 500_000)
 
     def window(self, letters: str) -> tuple[int, int]:
         """Its ordinary and its toxic length."""
@@ -123,16 +123,9 @@ class Model:
         return 1 / (1 + np.exp(-(document_features(gains(lengths, self.least, self.longest), bounds) @ self.weights)))
 
 
-_models: dict[bytes, Model] = {}
-
-
 def _kept(model: Model) -> Model:
     """The same model of an earlier task of this worker, with what it remembers."""
-    key = model.key()
-    if key not in _models:
-        _models.clear()
-        _models[key] = model
-    return _models[key]
+    return held(("toxicity", model.key()), lambda: model)
 
 
 def gains(lengths: np.ndarray, least: int, longest: int) -> np.ndarray:
@@ -272,7 +265,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
 
 def keep_ordinary(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows whose texts score below the threshold, with all their columns."""
-    def decide(data, offsets):
-        return _kept(model).score(data, offsets) < threshold if model else np.ones(len(offsets) - 1, bool)
+    def prepare():
+        own = _kept(model) if model else None
+        return lambda data, offsets: own.score(data, offsets) < threshold if own else np.ones(len(offsets) - 1, bool)
 
-    return filter_texts(docs, text_col, decide)
+    return filter_texts(docs, text_col, prepare)

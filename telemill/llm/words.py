@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20  # texts are worked on in blocks of about this many bytes; a longer text is a block of its own
+BLOCK_BYTES = 1 << 20  # texts are worked on in blocks of about this many bytes; a longer text is a block of its own
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -27,7 +27,7 @@ LOWER[65:91] += 32
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, BLOCK_BYTES + 1)
+        n = max(1 << (n - 1).bit_length(), 2 * BLOCK_BYTES)
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
