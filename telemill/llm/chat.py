@@ -7,7 +7,7 @@ template. A formatted conversation is a run of
 
 where ``<|next|>`` parts the texts of merged turns, so that the input turns can be read back. Control strings inside roles
 and texts get one more backslash behind their first character, and lose it on reading. The loss mask is one span per text,
-in order, with a flag: is it trained on?
+in order, with a flag: is it trained on? Spans count code points and, for readers that cut bytes, bytes of UTF-8 too.
 
 Defined cases: null roles and texts are empty; rows of a null conversation id form one conversation; null turn numbers
 come first, equal ones are ordered by role and text; repeated rows are turns of their own; a conversation's string is
@@ -24,12 +24,22 @@ _CONTROL = r"(\||/?s>|/?INST\])"  # what makes a control string of a < or [
 _SLICE = 256
 
 
+def _once(frame: DataFrame, *columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however often later steps use them.
+
+    Spark merges successive projections and repeats an expression wherever its column is used; a generator keeps them apart.
+    """
+    return frame.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(<|\[)(\\*)" + _CONTROL, r"$1\\$2$3")
+    escaped = F.regexp_replace(text, r"(<|\[)(\\*)" + _CONTROL, r"$1\\$2$3")
+    return F.when(F.contains(text, F.lit("<")) | F.contains(text, F.lit("[")), escaped).otherwise(text)
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(<|\[)\\(\\*)" + _CONTROL, "$1$2$3")
+    read = F.regexp_replace(text, r"(<|\[)\\(\\*)" + _CONTROL, "$1$2$3")
+    return F.when(F.contains(text, F.lit("\\")), read).otherwise(text)
 
 
 def _sums_before(lengths: Column) -> Column:
@@ -46,7 +56,7 @@ def _sums_before(lengths: Column) -> Column:
 
 def format_conversations(turns: DataFrame, learn_role: str = "assistant", id_col: str = "conv_id",
                          turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, formatted (string) and spans (array of start, length, learn; in code points), one row per conversation."""
+    """conv_id, formatted (string) and spans (array of start, length, byte_start, byte_length, learn), a row per conversation."""
     empty = F.lit("")
     source = turns.select(
         F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"),
@@ -61,18 +71,22 @@ def format_conversations(turns: DataFrame, learn_role: str = "assistant", id_col
         return (F.when(i == 0, opening).when(F.get(turn, i - 1)["role"] == t["role"], F.lit(NEXT))
                 .otherwise(F.concat(F.lit(END), opening)))
 
-    pieces = grouped.select("conv_id", F.transform(turn, lambda t, i: F.struct(
+    pieces = _once(grouped, F.transform(turn, lambda t, i: F.struct(
         lead(t, i).alias("lead"), t["text"].alias("text"), (t["role"] == escape(F.lit(learn_role))).alias("learn"))
-    ).alias("pieces"))
+    ).alias("pieces")).select("conv_id", "pieces")
     piece = F.col("pieces")
-    sized = pieces.select(
-        "conv_id", "pieces",
-        F.concat(F.array_join(F.transform(piece, lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(END)).alias("formatted"),
-        _sums_before(F.transform(piece, lambda p: (F.length(p["lead"]) + F.length(p["text"])).cast("long"))).alias("before"))
+
+    def before(size) -> Column:
+        return _sums_before(F.transform(piece, lambda p: (size(p["lead"]) + size(p["text"])).cast("long")))
+
+    sized = _once(
+        pieces, F.concat(F.array_join(F.transform(piece, lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(END)).alias("formatted"),
+        before(F.length).alias("before"), before(F.octet_length).alias("bytes_before"))
     spans = F.transform(piece, lambda p, i: F.struct(
         (F.get(F.col("before"), i) + F.length(p["lead"])).alias("start"), F.length(p["text"]).cast("long").alias("length"),
-        p["learn"].alias("learn")))
-    return sized.select("conv_id", "formatted", spans.alias("spans"))
+        (F.get(F.col("bytes_before"), i) + F.octet_length(p["lead"])).alias("byte_start"),
+        F.octet_length(p["text"]).cast("long").alias("byte_length"), p["learn"].alias("learn")))
+    return _once(sized, spans.alias("spans")).select("conv_id", "formatted", "spans")
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:
@@ -87,19 +101,25 @@ def read_turns(formatted: DataFrame) -> DataFrame:
         return F.transform(texts, lambda t: F.struct(
             unescape(role).alias("role"), unescape(t).alias("text"), F.length(t).cast("long").alias("length")))
 
-    return formatted.withColumn("turns", F.flatten(F.transform(runs, parse)))
+    return _once(formatted, F.flatten(F.transform(runs, parse)).alias("turns"))
 
 
-def chat_digests(formatted: DataFrame) -> DataFrame:
-    """What is read back from formatted conversations and their loss mask: counts and digests.
+def masked_texts(formatted: DataFrame) -> Column:
+    """The texts under the loss mask, cut out of ``formatted`` at the spans' bytes and unescaped; array of string."""
+    learnt = F.filter("spans", lambda s: s["learn"])
 
-    A span that doesn't fit the text it stands for makes the loss columns null.
-    """
-    spans, turns = F.col("spans"), F.col("turns")
-    masked = F.transform(turns, lambda t, i: F.when(F.get(spans, i)["length"] != t["length"], None)
-                         .when(F.get(spans, i)["learn"], t["text"]).otherwise(""))
-    read = read_turns(formatted).withColumn("masked", masked)
-    read = read.withColumn("loss", F.when(F.exists("masked", F.isnull), None).otherwise(F.array_join("masked", "")))
+    def cut(whole: Column) -> Column:
+        return F.transform(learnt, lambda s: unescape(
+            F.substring(whole, (s["byte_start"] + 1).cast("int"), s["byte_length"].cast("int")).cast("string")))
+
+    # the bytes are a lambda variable, so they are made once a conversation and not once a span
+    return F.flatten(F.transform(F.array(F.col("formatted").cast("binary")), cut))
+
+
+def chat_digests(formatted: DataFrame) -> DataFrame:
+    """What is read back from formatted conversations: turns parsed from the string, and the text under the loss mask."""
+    turns = F.col("turns")
+    read = _once(read_turns(formatted), F.array_join(masked_texts(formatted), "").alias("loss"))
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
