@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import free_shuffles, keep, partitions, ship, spare_name
+from telemill.llm.runtime import drop_held, free_shuffles, keep, partitions, ship, spare_name
 from telemill.llm.words import LOWER, Hasher, blocks, mix, pick, words
 
 CHUNKS, WIDTH = 16, 5
@@ -93,12 +93,19 @@ def bucket_keys(signature: np.ndarray) -> np.ndarray:
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
+                       _md5(text_col).alias("text_md5"))
+
+
+def _md5(text_col: str) -> F.Column:
+    """Tells rows of equal id apart."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
 
 
 def describe(source: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the shingle set, signature."""
+    """doc_id, text_md5, n_shingles, two hashes of the shingle set, signature."""
     def run(batches):
+        drop_held()
         for rows, data, offsets in blocks(batches, "text"):
             values, bounds = shingles(data, offsets, width)
             total = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])
@@ -106,10 +113,11 @@ def describe(source: DataFrame, width: int) -> DataFrame:
             one, two = ((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total)
             signature = [s.tobytes() for s in signatures(values, bounds)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(np.diff(bounds)), pa.array(one), pa.array(two), pa.array(signature, pa.binary())],
-                ["doc_id", "n_shingles", "set_1", "set_2", "signature"])
+                [rows.column(0), rows.column(2), pa.array(np.diff(bounds)), pa.array(one), pa.array(two),
+                 pa.array(signature, pa.binary())],
+                ["doc_id", "text_md5", "n_shingles", "set_1", "set_2", "signature"])
 
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_1 long, set_2 long, signature binary")
+    return source.mapInArrow(run, "doc_id long, text_md5 binary, n_shingles long, set_1 long, set_2 long, signature binary")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -321,6 +329,10 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), kept, class_id (its equal sets)."""
+    return _near_duplicates(docs, width, share, id_col, text_col).drop("text_md5")
+
+
+def _near_duplicates(docs: DataFrame, width: int, share: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     source = _source(docs, id_col, text_col)
     described = keep(describe(source, width), "signatures")
@@ -360,15 +372,16 @@ def _labelled(described: DataFrame, label: DataFrame, same: list[str]) -> DataFr
     linked = described.filter("n_shingles > 0 AND doc_id IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     copies = label.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     alone = described.filter("n_shingles = 0 OR doc_id IS NULL").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.col("doc_id").alias("class_id"))
+        "doc_id", "text_md5", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"),
+        F.col("doc_id").alias("class_id"))
     return linked.join(copies, [*same, "salt"]).select(
-        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id") \
+        "doc_id", "text_md5", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id") \
         .unionByName(alone)
 
 
 def keep_first(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``near_duplicates`` keeps, with all their columns."""
-    name = spare_name(docs, "dropped_id")
-    dropped = (near_duplicates(docs, width, share, id_col, text_col).filter("NOT kept")
-               .select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col(name), "left_anti")
+    """The rows that ``near_duplicates`` keeps, with all their columns; rows of one id may differ in that by their texts."""
+    name, text = spare_name(docs, "dropped_id"), spare_name(docs, "dropped_text")
+    dropped = (_near_duplicates(docs, width, share, id_col, text_col).filter("NOT kept")
+               .select(F.col("doc_id").alias(name), F.col("text_md5").alias(text)).distinct())
+    return docs.join(dropped, (F.col(id_col).cast("long") == F.col(name)) & (_md5(text_col) == F.col(text)), "left_anti")

@@ -114,6 +114,8 @@ WITH RECURSIVE w AS (
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [words]
     ELSE list_transform(range(1, len(words) - 2), lambda i: words[i:i + 3]) END) AS shingle FROM w),
 k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY shingles) AS class_id
+  FROM (SELECT doc_id, list_sort(list(array_to_string(shingle, ' '))) AS shingles FROM s GROUP BY doc_id)),
 b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
   GROUP BY ALL),
 link AS (SELECT a, b FROM b JOIN k ka ON ka.doc_id = a JOIN k kb ON kb.doc_id = b
@@ -121,8 +123,8 @@ link AS (SELECT a, b FROM b JOIN k ka ON ka.doc_id = a JOIN k kb ON kb.doc_id =
 reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
 least AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(component, doc_id)) AS component_id,
-  doc_id <= coalesce(component, doc_id) AS kept
-FROM w LEFT JOIN k USING (doc_id) LEFT JOIN least ON least.a = doc_id""",
+  doc_id <= coalesce(component, doc_id) AS kept, coalesce(class_id, doc_id) AS class_id
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN least ON least.a = doc_id""",
     "op4_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
