@@ -280,6 +280,14 @@ def detect_stream(t: Tables) -> DataFrame:
     return _run(t, detect.row_alerts(message_fields(_traffic_stream(t))), "row-alerts")
 
 
+@query("detect_stream_cumulative", f"""
+    WITH {RUNNING}, {alerts_sql("flood_detection", "topic_enumeration", "qos_abuse", "retain_abuse")}
+    SELECT * FROM alerts""", "traffic")
+def detect_stream_cumulative(t: Tables) -> DataFrame:
+    rows = message_fields(_traffic_stream(t))
+    return _run(t, detect.cumulative_alerts(rows, keep=("seq",)), "cumulative-alerts")
+
+
 @query("detect_stream_windowed", window_sql(*COUNTING, closed=CLOSED), "traffic")
 def detect_stream_windowed(t: Tables) -> DataFrame:
     stream = detect.window_alerts(message_fields(_traffic_stream(t)), WINDOW_RULES, DELAY)

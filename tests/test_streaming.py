@@ -1,7 +1,9 @@
 """Streams give what the batch gives; rows beyond the watermark are dropped."""
 
+import time
+
 import pytest
-from helpers import at
+from helpers import at, in_order, random_features
 from pyspark.sql import functions as F
 
 from telemill.operators import detection, messages, windows
@@ -106,3 +108,49 @@ def test_connection_alerts(arrivals):
     got = arrivals.run(detect.connection_alerts(arrivals.stream(CONNECTIONS), RULES))
     batch = windows.reconnect_storm(arrivals.batch(), RULES).unionByName(windows.duplicate_client(arrivals.batch(), RULES))
     assert same(got, batch) and got.count() == 2
+
+
+def test_cumulative_rules_across_batches_and_restarts(arrivals):
+    rows = [(seq, at(seconds), *rest) for seq, (seconds, *rest) in in_order(random_features(11, 500))]
+    checks = ["flood_detection", "topic_enumeration", "qos_abuse", "retain_abuse"]
+    raised = []
+    for part in (rows[:150], rows[150:180], rows[180:400], rows[400:]):
+        arrivals.add(part, FEATURES)
+        found = arrivals.run(detect.cumulative_alerts(arrivals.stream(FEATURES), RULES, keep=("seq",)))  # goes on from its checkpoint
+        raised.append(found.count())
+    assert raised == sorted(set(raised))
+    assert same(found, detection.detect(arrivals.batch(), RULES, checks, keep=("seq",)))
+
+
+def test_cumulative_counts_of_odd_rows(arrivals):
+    rows = [feature(1, 0, None, None, qos=None, retain=None), feature(2, None, None, None), feature(3, None, "", "")]
+    arrivals.add(rows, FEATURES)
+    rules = Rules().override(flood_detection={"threshold": 0}, topic_enumeration={"threshold": 0},
+                             qos_abuse={"threshold": 0}, retain_abuse={"threshold": 0})
+    found = arrivals.run(detect.cumulative_alerts(arrivals.stream(FEATURES), rules, keep=("seq",)))
+    assert same(found, detection.detect(arrivals.batch(), rules, list(detection.COUNTED), keep=("seq",)))
+    assert found.count() == 8
+
+
+def test_idle_clients_are_forgotten(spark, arrivals, tmp_path):
+    arrivals.add([feature(1, 0, "a"), feature(2, 1, "a")], FEATURES)
+    rules, path = Rules().override(flood_detection={"threshold": 1}), str(tmp_path / "out")
+    alerts = detect.cumulative_alerts(arrivals.stream(FEATURES), rules, ["flood_detection"], idle="1 second", keep=("seq",))
+    query = sinks.append_to_table(alerts, path, str(tmp_path / "checkpoint"), every="1 second")
+
+    def until_read(n):  # such a query never has nothing to do, so it is watched
+        for _ in range(300):
+            if sum(p["numInputRows"] for p in query.recentProgress) >= n:
+                return
+            time.sleep(0.2)
+        raise AssertionError(query.exception() or "not read in time")
+
+    try:
+        for n, rows in ((2, [feature(3, 2, "a")]), (3, [feature(4, 3, "a")])):
+            until_read(n)
+            time.sleep(3)  # longer than counts are remembered
+            arrivals.add(rows, FEATURES)
+        until_read(4)
+    finally:
+        query.stop()
+    assert [r.seq for r in spark.read.schema(alerts.schema).parquet(path).collect()] == [2]
