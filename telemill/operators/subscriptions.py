@@ -1,8 +1,9 @@
 """Messages matched to topic filters.
 
-Filters that have wildcards at the same places form a *shape*. Within a shape a topic matches a filter exactly
-when their literal levels agree, so matching is a hash join on (shape, literal levels), however many
-filters there are.
+Filters are the paths of a trie: a node is what filters begin with, an edge is a literal level or ``+``. A topic walks the
+trie level by level. Its frontier of nodes is joined with the nodes one level deeper, by equality of paths: a literal child
+by the topic's own level, the ``+`` child where the node is marked to have one. A filter that ends in ``#`` is found at its
+parent node. So a topic's cost follows its depth and the filters that it falls under, not their number or their kinds.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from telemill.functions.topics import topic_matches
 
 SEPARATOR = "/"
-SMALL = 50_000  # filters up to this many are sent to every task, more are joined by a shuffle
+SMALL = 50_000  # filters up to this many are sent to every task, with at most so many nodes a level each
 
 
 def filter_table(spark, filters: list[str]) -> DataFrame:
@@ -27,54 +28,67 @@ def _levels(text: Column) -> Column:
     return F.split(text, SEPARATOR)
 
 
-def _shape(filter_levels: Column) -> Column:
-    """The filter with every literal level replaced by ``x``."""
-    return F.array_join(F.transform(
-        filter_levels, lambda level: F.when(level.isin("+", "#"), level).otherwise(F.lit("x"))), SEPARATOR)
+def filter_nodes(filters: DataFrame) -> DataFrame:
+    """The trie: a row per node with its path and whether it has a ``+`` child, a filter of its own, a ``#`` filter.
 
-
-def _literal_key(filter_levels: Column) -> Column:
-    return F.array_join(F.filter(filter_levels, lambda level: ~level.isin("+", "#")), SEPARATOR)
-
-
-def _candidate(topic: Column, levels: Column, shape: str) -> Column:
-    """The literal key a topic must have under one shape, null where the shape cannot match."""
-    parts = shape.split(SEPARATOR)
-    open_end = parts[-1] == "#"
-    fixed = parts[:-1] if open_end else parts
-    fits = F.size(levels) >= len(fixed) if open_end else F.size(levels) == len(fixed)
-    if parts[0] in ("+", "#"):
-        fits = fits & ~F.startswith(topic, F.lit("$"))
-    literal = [F.get(levels, F.lit(i)) for i, part in enumerate(fixed) if part == "x"]
-    key = F.concat_ws(SEPARATOR, *literal) if literal else F.lit("")
-    return F.when(fits, F.struct(F.lit(shape).alias("_shape"), key.alias("_key")))
+    The root's path is empty, a child's is its parent's, a slash and the level. ``#`` is a wildcard as the last level only.
+    """
+    levels = _levels(F.col("filter"))
+    open_end = F.element_at(levels, -1) == "#"
+    steps = F.when(open_end, F.slice(levels, 1, F.size(levels) - 1)).otherwise(levels)
+    paths = (filters.select("filter").distinct().where(F.col("filter").isNotNull())
+             .select(steps.alias("_steps"), open_end.alias("_open"))
+             .select("*", F.explode(F.sequence(F.lit(0), F.size("_steps"))).alias("_at")))
+    at_end = F.col("_at") == F.size("_steps")
+    path = F.array_join(F.transform(F.slice("_steps", 1, F.col("_at")), lambda step: F.concat(F.lit(SEPARATOR), step)), "")
+    return paths.groupBy(path.alias("path")).agg(
+        F.bool_or(F.coalesce(F.get("_steps", F.col("_at")) == "+", F.lit(False))).alias("has_plus"),
+        F.bool_or(at_end & ~F.col("_open")).alias("is_filter"), F.bool_or(at_end & F.col("_open")).alias("has_rest"))
+
+
+def _walk(rows: DataFrame, topic: str, nodes: DataFrame, depth: int) -> DataFrame:
+    """Rows and the filters they fall under, by one join a level. A filter that is found waits under a key no node has."""
+    columns, found = rows.columns, F.concat(F.lit("#"), F.col(topic))
+    path, text = F.col("path"), F.col(topic)
+    now = rows.where(text.isNotNull()).select(
+        *columns, _levels(text).alias("_levels"), F.substring(text, 1, 0).alias("_key"),  # no literal: joins are by equality
+        F.lit(None).cast("string").alias("filter"))
+    for at in range(depth + 1):
+        level, more = F.get("_levels", F.lit(at)), F.size("_levels") > at
+        wild = ~F.startswith(text, F.lit("$")) if at == 0 else F.lit(True)
+
+        def ends(condition: Column, name: Column) -> Column:
+            return F.when(condition, F.struct(name.alias("filter"), found.alias("_key")))
+
+        def goes_on(condition: Column, step: Column) -> Column:
+            return F.when(condition, F.struct(F.lit(None).cast("string").alias("filter"),
+                                              F.concat(path, F.lit(SEPARATOR), step).alias("_key")))
+
+        named = F.substring(path, 2, 1 << 30)
+        next_ = F.array_compact(F.array(
+            ends(F.col("filter").isNotNull(), F.col("filter")),
+            ends(F.col("has_rest") & wild, F.substring(F.concat(path, F.lit("/#")), 2, 1 << 30)),
+            ends(F.col("is_filter") & ~more, named),
+            goes_on(path.isNotNull() & more & (level != "+"), level),
+            goes_on(F.col("has_plus") & more & wild, F.lit("+"))))
+        now = (now.join(nodes, F.col("_key") == path, "left").where(path.isNotNull() | F.col("filter").isNotNull())
+               .select(*columns, "_levels", F.explode(next_).alias("_next"))
+               .select(*columns, "_levels", "_next._key", "_next.filter"))
+    return now.where(F.col("filter").isNotNull()).select(*columns, "filter")
 
 
 def match_subscriptions(messages: DataFrame, filters: DataFrame, topic: str = "topic") -> DataFrame:
     """One row per (message, filter it falls under); ``filters`` has a column ``filter``.
 
-    A shape without literal levels has one filter, so these are tested in place, without a join. Keys of the other
-    shapes are looked up: in every task if the filters are few, else by a shuffle on (shape, literal levels).
+    Few filters are sent to every task, and messages walk the trie without a shuffle. With more than ``SMALL`` filters the
+    distinct topics walk, a shuffle a level, and messages are joined with their topic's filters at the end.
     """
-    levels = _levels(F.col("filter"))
-    keyed = filters.select("filter", _shape(levels).alias("_shape"), _literal_key(levels).alias("_key"),
-                           F.exists(levels, lambda level: ~level.isin("+", "#")).alias("_literal")).distinct()
-    shapes = keyed.groupBy("_shape", "_literal").agg(F.count("*").alias("n")).collect()  # a row per shape
-    names, topic_levels = messages.columns, F.col("_levels")
-
-    def candidates(literal: bool) -> Column:
-        found = [_candidate(F.col(topic), topic_levels, row["_shape"]) for row in sorted(shapes) if row["_literal"] == literal]
-        return F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<_shape:string,_key:string>>")
-
-    split = messages.withColumn("_levels", _levels(F.col(topic)))
-    open_ = split.withColumn("_candidate", F.explode(candidates(False))).select(*names, F.col("_candidate._shape").alias("filter"))
-    named = keyed.where("_literal").select("_shape", "_key", "filter")
-    if sum(row["n"] for row in shapes) <= SMALL:
-        named = F.broadcast(named)
-    found = (split.withColumn("_candidate", F.explode(candidates(True)))
-             .select(*names, "_candidate._shape", "_candidate._key")
-             .join(named, ["_shape", "_key"]).select(*names, "filter"))
-    return open_.unionByName(found)
+    sizes = filters.agg(F.count("*").alias("n"), F.max(F.size(_levels(F.col("filter")))).alias("depth")).first()
+    nodes, depth = filter_nodes(filters), sizes["depth"] or 0
+    if sizes["n"] <= SMALL:
+        return _walk(messages, topic, F.broadcast(nodes), depth)
+    pairs = _walk(messages.select(topic).distinct(), topic, nodes, depth)
+    return messages.join(pairs, topic).select(*messages.columns, "filter")
 
 
 def subscribed(messages: DataFrame, filters: list[str], topic: str = "topic") -> DataFrame:

@@ -180,6 +180,36 @@ def match_subscriptions(t: Tables) -> DataFrame:
         t.traffic.select("seq", "topic"), subscriptions.filter_table(t.spark, FILTERS))
 
 
+# every message is also the source of a filter: its topic with wildcards where a hash of its number has ones, odd ones cut
+# short and open at the end
+DEEP_TOPIC = "topic || '/' || (seq // 1000) % 10 || '/' || (seq // 100) % 10 || '/' || (seq // 10) % 10 || '/' || seq % 10"
+
+
+def _masked(levels: str, mask: str) -> str:
+    return f"list_transform({levels}, lambda x, i: CASE WHEN ({mask} >> (i - 1)) & 1 = 1 THEN '+' ELSE x END)"
+
+
+@query("match_subscriptions_many", f"""
+    WITH d AS (SELECT seq, {DEEP_TOPIC} AS topic, string_split({DEEP_TOPIC}, '/') AS p FROM traffic WHERE topic IS NOT NULL),
+    f AS (SELECT DISTINCT CASE WHEN seq % 2 = 0 THEN array_to_string({_masked("p", "(seq * 7919) % 512")}, '/')
+      ELSE array_to_string({_masked("p[:seq % len(p) + 1]", "(seq * 7919) % 512")}, '/') || '/#' END AS filter FROM d),
+    c AS (SELECT seq, topic, p, cut, unnest(range(1 << cut)) AS mask
+      FROM (SELECT *, unnest(range(1, len(p) + 1)) AS cut FROM d)),
+    e AS (SELECT seq, topic, unnest([array_to_string(m, '/') || '/#', CASE WHEN cut = len(p) THEN array_to_string(m, '/') END]) AS filter
+      FROM (SELECT *, {_masked("p[:cut]", "mask")} AS m FROM c WHERE NOT (topic LIKE '$%' AND mask & 1 = 1)))
+    SELECT seq, count(*) AS filters, min(filter) AS first_filter, max(filter) AS last_filter
+    FROM (SELECT DISTINCT seq, filter FROM e JOIN f USING (filter)) GROUP BY seq""", "traffic")
+def match_subscriptions_many(t: Tables) -> DataFrame:
+    digits = [(F.floor(F.col("seq") / 10 ** k) % 10).cast("string") for k in (3, 2, 1, 0)]
+    deep = t.traffic.where("topic IS NOT NULL").select("seq", F.concat_ws("/", "topic", *digits).alias("topic"))
+    levels, mask = F.split("topic", "/"), F.col("seq") * 7919 % 512
+    masked = F.transform(levels, lambda x, i: F.when(F.call_function("getbit", mask, i) == 1, "+").otherwise(x))
+    cut = F.concat(F.array_join(F.slice(masked, 1, (F.col("seq") % F.size(levels) + 1).cast("int")), "/"), F.lit("/#"))
+    filters = deep.select(F.when(F.col("seq") % 2 == 0, F.array_join(masked, "/")).otherwise(cut).alias("filter"))
+    return subscriptions.match_subscriptions(deep, filters.distinct()).groupBy("seq").agg(
+        F.count("*").alias("filters"), F.min("filter").alias("first_filter"), F.max("filter").alias("last_filter"))
+
+
 @query("device_from_topic", """
     SELECT seq, CASE WHEN len(p) < 3 OR p IS NULL THEN 'unknown' WHEN contains(p[-2], 'device') THEN p[-3] ELSE p[-2] END
       AS device FROM (SELECT seq, string_split(topic, '/') AS p FROM traffic)""", "traffic")
