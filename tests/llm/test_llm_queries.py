@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="supplied tabl
 
 def test_registered():
     names = [re.match(r"op(\d+)_", n).group(1) for n in queries.QUERIES]
-    assert sorted(map(int, names)) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(map(int, names)) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
