@@ -22,12 +22,14 @@ def is_json_object(text: Column) -> Column:
     """Whether a text is one JSON object and nothing else; null for null.
 
     Spark's parsers ignore what follows a value. Text with more than one value may still look like the sole item of an
-    array or like the sole member of an object, but not like both.
+    array, if it closes that array itself, or like the sole member of an object, but not like both. So text without a
+    closing bracket is parsed once.
     """
     sole_item = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     sole_member = F.size(F.json_object_keys(F.concat(F.lit('{"x":'), text, F.lit("}")))) == 1
     braces = F.ltrim(text).startswith("{") & F.rtrim(text).endswith("}")
-    return F.when(text.isNotNull(), F.coalesce(braces & sole_item & sole_member, F.lit(False)))
+    closes = F.contains(text, F.lit("]"))
+    return F.when(text.isNotNull(), F.coalesce(braces & sole_item & (~closes | sole_member), F.lit(False)))
 
 
 def with_json_entries(df: DataFrame, text: Column, name: str = "_entries") -> DataFrame:

@@ -36,6 +36,11 @@ def route_camera(df: DataFrame) -> DataFrame:
     return parse_camera_topic(df).withColumn("camera_class", camera_class(F.col("topic")))
 
 
+def _of_class(df: DataFrame, name: str) -> DataFrame:
+    """Routed rows of one class; the class is told from the topic first, so other payloads are not parsed."""
+    return route_camera(df.where(camera_class(F.col("topic")) == name))
+
+
 def camera_stats(df: DataFrame) -> DataFrame:
     """Messages per class, classes without messages included; ``total`` also counts unmatched rows."""
     counts = route_camera(df).agg(
@@ -50,14 +55,14 @@ def camera_fields(df: DataFrame, name: str, keep: tuple[str, ...] = ()) -> DataF
     """Rows of one class with its shown fields, defaults filled in."""
     body = F.col("_body")
     shown = [F.coalesce(body[field], F.lit(default)).alias(field) for field, default in SHOWN_FIELDS[name].items()]
-    return (route_camera(df).where(F.col("camera_class") == name)
+    return (_of_class(df, name)
             .withColumn("_body", F.from_json("payload", CAMERA_SCHEMAS[name]))
             .select(*keep, "zone", "camera_id", *shown))
 
 
 def camera_messages(df: DataFrame, name: str) -> DataFrame:
     """Rows of one class with all fields of its message, nested ones included, as one struct."""
-    return (route_camera(df).where(F.col("camera_class") == name)
+    return (_of_class(df, name)
             .withColumn("message", F.from_json("payload", CAMERA_SCHEMAS[name])))
 
 
