@@ -13,6 +13,9 @@ from telemill.operators.ordered import Order, running_totals
 from telemill.schemas import DEVICE_PATTERNS
 
 
+SAMPLE_MERGES = 64  # groups of tasks whose samples are merged first
+
+
 def classify_devices(df: DataFrame, sample: str = "Payload_sample", topic: str = "topic") -> DataFrame:
     """One row per (row, device type it mentions); a row may be of several types or none.
 
@@ -31,25 +34,17 @@ def classify_devices(df: DataFrame, sample: str = "Payload_sample", topic: str =
 def sample_per_device(df: DataFrame, key: str, n: int = 1000, seed: int = 0) -> DataFrame:
     """A uniform sample of at most ``n`` rows per device type, the same for the same seed and key.
 
-    Every row draws a number from a hash of seed and key; the ``n`` smallest of a type are its sample. Only rows whose
-    draw is below about 2n / rows of their type are ranked, whatever ``n``; types that come up short (many rows of one
-    key) are ranked whole.
+    Every row draws a number from a hash of seed and key; the ``n`` smallest of a type are its sample. The input is read
+    once: each task keeps the ``n`` smallest of its rows per type, those of some tasks are merged, and then those of all, so
+    the last step sees at most ``SAMPLE_MERGES * n`` rows of a type, whatever the input. (Spark keeps the smallest before the
+    shuffle for ``n`` up to ``spark.sql.optimizer.windowGroupLimitThreshold``.)
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
-    drawn = df.withColumns({"_draw": digest, "_place": place})
-    share = F.least(F.lit(1.0), F.lit(2.0 * n + 40) / F.col("_rows"))
-    sizes = F.broadcast(drawn.groupBy("device_type").agg(F.count("*").alias("_rows"))
-                        .select(F.col("device_type").alias("_type"), "_rows", share.alias("_share")))  # a row per type
-    same = F.col("device_type").eqNullSafe(F.col("_type"))
-    sized = drawn.join(sizes, same).drop("_type")
-    below = F.col("_place") < F.col("_share")
-    short = (sized.groupBy("device_type").agg(F.count_if(below).alias("_below"), F.first("_rows").alias("_all"))
-             .select(F.col("device_type").alias("_type"), (F.col("_below") < F.least(F.lit(n), "_all")).alias("_short")))
-    ranked = Window.partitionBy("device_type").orderBy("_draw", key)
-    return (sized.join(F.broadcast(short), same).where(below | F.col("_short"))
-            .withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= n)
-            .select(*df.columns))
+    drawn = df.withColumns({"_draw": digest, "_merge": F.spark_partition_id() % SAMPLE_MERGES})
+    for keys in (("device_type", "_merge"), ("device_type",)):
+        ranked = Window.partitionBy(*keys).orderBy("_draw", key)
+        drawn = drawn.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= n)
+    return drawn.select(*df.columns)
 
 
 def device_counts(classified: DataFrame) -> DataFrame:

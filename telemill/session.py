@@ -12,6 +12,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # up to so many rows per key, Spark keeps the first ones of a ranking before it shuffles
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # HotSpot does not compile methods above this size; wide projections run faster split into small ones
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
