@@ -74,6 +74,25 @@ def bruteforce_stats(df: DataFrame) -> DataFrame:
         F.max(latency).alias("max_latency_ms"))
 
 
+def latency_sketches(df: DataFrame, *by: str, k: int = 800) -> DataFrame:
+    """Per value of ``by`` the number of SUBACK latencies and a quantile sketch of them, a few kilobytes to be stored.
+
+    Sketches of different logs or days can be merged without their rows; with k = 800 a quantile's rank is off by less than
+    half a percent of all rows, nearly always.
+    """
+    latency = F.when(_is("packet_type", "SUBACK") & F.col("latency_ms").isNotNull(), F.col("latency_ms").cast("double"))
+    return df.where(latency.isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("latencies"), F.kll_sketch_agg_double(latency, k).alias("sketch"))
+
+
+def merged_latency(sketches: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """quantile, latencies, latency_ms over all logs that the sketches stand for."""
+    merged = sketches.agg(F.sum("latencies").alias("latencies"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    points = F.array(*[F.struct(F.lit(q).alias("quantile"), F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias("latency_ms"))
+                       for q in quantiles])
+    return merged.where(F.col("latencies") > 0).select("latencies", F.inline(points)).select("quantile", "latencies", "latency_ms")
+
+
 def _discovered() -> Column:
     return _is("action", "message_received", "wildcard_message")
 

@@ -11,6 +11,7 @@ from telemill.operators.features import message_fields
 from telemill.plans.feature_queries import COLLECTED
 from telemill.plans.registry import query
 from telemill.plans.traffic import Tables, as_messages
+from telemill.schemas import ATTACK_LOG_SCHEMAS
 from telemill.session import scratch_path
 from telemill.sources import messages as message_source
 from telemill.sources import tables
@@ -340,10 +341,29 @@ def flood_stats(t: Tables) -> DataFrame:
       count(*) FILTER (packet_type = 'CONNECT' AND status = 'success') AS connected,
       count(*) FILTER (packet_type = 'CONNECT' AND status = 'failed') AS refused,
       round(avg(latency_ms) FILTER (packet_type = 'SUBACK'), 4) AS avg_latency_ms,
+      quantile_disc(latency_ms, 0.95) FILTER (packet_type = 'SUBACK') AS p95_latency_ms,
       max(latency_ms) FILTER (packet_type = 'SUBACK') AS max_latency_ms FROM bruteforce_log""", "bruteforce_log")
 def bruteforce_stats(t: Tables) -> DataFrame:
-    return logs.bruteforce_stats(t.view("bruteforce_log")).drop("p95_latency_ms").withColumn(
-        "avg_latency_ms", F.round("avg_latency_ms", 4))
+    return logs.bruteforce_stats(t.view("bruteforce_log")).withColumn("avg_latency_ms", F.round("avg_latency_ms", 4))
+
+
+# sketches of single hours are stored and merged; what they say is held against the ranks of all latencies
+@query("bruteforce_latency", """
+    SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS quantile, latencies, true AS within_one_percent
+    FROM (SELECT count(latency_ms) AS latencies FROM bruteforce_log WHERE packet_type = 'SUBACK')""", "bruteforce_log")
+def bruteforce_latency(t: Tables) -> DataFrame:
+    log, path = t.view("bruteforce_log"), scratch_path(t.spark, "latency-sketches")
+    logs.latency_sketches(log.withColumn("hour", F.hour("ts")), "hour").write.parquet(path)
+    found = logs.merged_latency(t.spark.read.parquet(path))
+    exact = log.where("packet_type = 'SUBACK'").select("latency_ms")
+    below, up_to = F.count_if(F.col("exact.latency_ms") < F.col("found.latency_ms")), F.count_if(
+        F.col("exact.latency_ms") <= F.col("found.latency_ms"))
+    at = F.col("quantile") * F.col("latencies")
+    return (exact.alias("exact").join(F.broadcast(found).alias("found"))  # three rows
+            .groupBy("quantile", "latencies").agg(below.alias("below"), up_to.alias("up_to"))
+            .select("quantile", "latencies", (
+                (F.col("below") - at <= F.col("latencies") / 100) & (at - F.col("up_to") <= F.col("latencies") / 100))
+                .alias("within_one_percent")))
 
 
 @query("enumeration_stats", """
@@ -415,6 +435,26 @@ def read_attack_log(t: Tables) -> DataFrame:
     return _rounded_qos2(tables.read_attack_log(t.spark, path, "qos2"))
 
 
+def _register_log(kind: str) -> None:
+    kinds = dict(column.split() for column in ATTACK_LOG_SCHEMAS[kind].split(", "))
+    view = f"{kind}_log"
+    # an empty cell and an empty text are the same in a CSV file
+    cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" if k == "STRING" else c for c, k in kinds.items())
+
+    @query(f"read_attack_log_{kind}", f"SELECT {cells}, epoch_us(ts) AS ts_us FROM {view}", view)
+    def one_log(t: Tables) -> DataFrame:
+        """A log written as its CSV and read with its schema: every cell, and the time."""
+        path = scratch_path(t.spark, view)
+        t.view(view).select(*kinds).write.options(**tables.READ_OPTIONS).csv(path)
+        read = tables.read_attack_log(t.spark, path, kind)
+        return read.select(*[F.coalesce(c, F.lit("")).alias(c) if k == "STRING" else c for c, k in kinds.items()],
+                           F.unix_micros("ts").alias("ts_us"))
+
+
+for _kind in ATTACK_LOG_SCHEMAS:
+    _register_log(_kind)
+
+
 @query("reconnect_stats", """
     SELECT connections, disconnections, failures, ok - disconnections AS active,
       round((connections - failures) / connections * 100, 4) AS success_percent FROM (
