@@ -23,12 +23,12 @@ SEED, MARKER, ROW = -1, 0, 1
 
 FIRST, LAST = -(2 ** 63), 2 ** 63 - 1
 
-# Splitting makes at most twice this many slices over all keys, whatever the input: it bounds the broadcast split
-# points to a few megabytes.
+# Splitting makes at most about this many slices over all keys, whatever the input: it bounds the broadcast split points
+# to a few megabytes.
 MOST_SPLITS = 131072
-# Slices per key, and the rows sampled to place each split point.
+# Slices per key, and the rows sampled for each of them.
 MOST_PARTS = 65536
-SAMPLES_PER_PART = 16
+SAMPLES_PER_PART = 64
 # Split points are looked up in two levels of at most so many, a power of two, whatever their number.
 FAN = 256
 
@@ -68,44 +68,34 @@ def _join_small(rows: DataFrame, small: DataFrame, keys: tuple[str, ...], how: s
     return rows.join(F.broadcast(renamed), same, how).drop(*[f"_of_{n}" for n in keys])
 
 
-@dataclass(frozen=True)
-class SplitPoints:
-    """Per key every FAN-th split point, and per key and run of FAN the points of that run."""
-
-    coarse: DataFrame
-    fine: DataFrame
-
-
-def split_points(df: DataFrame, order: Order) -> SplitPoints:
-    """Split points of the keys that are too large for one slice.
+def split_points(df: DataFrame, order: Order) -> DataFrame:
+    """Split points of the keys that are too large for one slice: a row per key, its points in runs of at most FAN.
 
-    Bounded for any input: only keys with more than 1/MOST_SPLITS of all rows qualify, and each gets no more
-    points than its share. The sample takes rows by a hash of ``seq``, so it is the same in every run.
+    ``_coarse`` has the first point of every run but the first, ``_fine`` the runs. One read of the key, timestamp and
+    ``seq``, of which rows are taken by a hash of ``seq``: the sample is the same in every run. It tells about how many rows
+    a key has, so only keys with more than ``max_rows`` are cut; a slice is ``max_rows`` on average, give or take an eighth.
+    Should that be more than MOST_SPLITS points, every second, third, ... of them is left out.
     """
-    total = df.agg(F.count("*")).scalar()
-    limit = F.greatest(F.lit(order.max_rows), F.ceil(total / MOST_SPLITS))
-    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("_rows") / limit))
-    hot = (df.groupBy(*order.keys).agg(F.count("*").alias("_rows"))
-           .where(F.col("_rows") > limit)
-           .withColumns({"_parts": parts, "_stride": F.greatest(
-               F.lit(1), F.floor(F.col("_rows") / (parts * SAMPLES_PER_PART)))}))
-    rows = df.select(*order.keys, order.at.alias(AT), order.seq)
-    sample = _join_small(rows, hot, order.keys, "inner").where(
-        F.pmod(F.xxhash64(order.seq), F.col("_stride")) == 0)
+    stride = max(1, order.max_rows // SAMPLES_PER_PART)
+    sample = (df.select(*order.keys, order.at.alias(AT), order.seq)
+              .where(F.pmod(F.xxhash64(order.seq), F.lit(stride)) == 0))
     of_key = Window.partitionBy(*order.keys)
+    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("_size") * stride / order.max_rows))
     step = F.floor(F.col("_rank") * F.col("_parts") / F.col("_size"))
     step_before = F.floor((F.col("_rank") - 1) * F.col("_parts") / F.col("_size"))
     points = (sample.withColumns({"_rank": F.row_number().over(of_key.orderBy(AT, order.seq)),
                                   "_size": F.count("*").over(of_key)})
+              .withColumn("_parts", parts)
               .where((step > step_before) & (F.col("_rank") < F.col("_size")))
-              .select(*order.keys, F.struct(AT, order.seq).alias("_point"),
-                      (F.row_number().over(of_key.orderBy(AT, order.seq)) - 1).alias("_index")))
-    listed = F.sort_array(F.collect_list("_point"))
-    first_of_run = (F.col("_index") % FAN == 0) & (F.col("_index") > 0)
-    return SplitPoints(
-        points.groupBy(*order.keys).agg(
-            F.sort_array(F.collect_list(F.when(first_of_run, F.col("_point")))).alias("_points")),
-        points.groupBy(*order.keys, F.floor(F.col("_index") / FAN).cast("int").alias("_run")).agg(listed.alias("_points")))
+              .select(*order.keys, F.struct(AT, order.seq).alias("_point"), step.alias("_step")))
+    thin = F.greatest(F.lit(1), F.ceil(points.agg(F.count("*")).scalar() / MOST_SPLITS))  # of the same sample, once shuffled
+    runs = (points.where(F.col("_step") % thin == 0)
+            .withColumn("_run", F.floor((F.floor(F.col("_step") / thin) - 1) / FAN))
+            .groupBy(*order.keys, "_run").agg(F.sort_array(F.collect_list("_point")).alias("_points"))
+            .groupBy(*order.keys).agg(F.sort_array(F.collect_list(F.struct("_run", "_points"))).alias("_runs")))
+    fine = F.transform("_runs", lambda run: run["_points"])
+    return runs.select(*order.keys, fine.alias("_fine"), F.transform(
+        F.slice(fine, F.lit(2), F.size("_runs")), lambda run: F.get(run, F.lit(0))).alias("_coarse"))
 
 
 def _passed(points: Column, here: Column) -> Column:
@@ -115,17 +105,15 @@ def _passed(points: Column, here: Column) -> Column:
         steps, F.lit(0), lambda n, step: F.when(F.get(points, n + step - 1) <= here, n + step).otherwise(n)))
 
 
-def with_slices(df: DataFrame, order: Order, points: SplitPoints, only_split: bool = False) -> DataFrame:
+def with_slices(df: DataFrame, order: Order, points: DataFrame, only_split: bool = False) -> DataFrame:
     """Add the order column and the slice of every row, or keep the rows of split keys only.
 
     A row meets the coarse points of its key, then those of one run: its cost doesn't grow with the number of slices.
     """
     rows = df.withColumn(AT, order.at)
     here = F.struct(F.col(AT), F.col(order.seq))
-    coarse = _join_small(rows, points.coarse, order.keys, "inner" if only_split else "left").select(
-        *rows.columns, _passed(F.col("_points"), here).alias("_run"))
-    found = _join_small(coarse, points.fine, (*order.keys, "_run"), "left")
-    part = F.col("_run") * FAN + F.coalesce(_passed(F.col("_points"), here), F.lit(0))
+    found = _join_small(rows, points, order.keys, "inner" if only_split else "left").withColumn("_run", _passed(F.col("_coarse"), here))
+    part = F.col("_run") * FAN + F.coalesce(_passed(F.get("_fine", F.col("_run")), here), F.lit(0))
     return found.select(*rows.columns, F.coalesce(part, F.lit(0)).alias(PART))
 
 

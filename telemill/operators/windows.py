@@ -68,55 +68,50 @@ def detect_windowed(features: DataFrame, rules: Rules | None = None) -> DataFram
     return out
 
 
-def sliding_counts(features: DataFrame, seconds: int, distinct_topics: bool = True, **order_options) -> DataFrame:
-    """Add messages, topics, QoS 2 and retained messages of the client in the ``seconds`` up to each row.
+def sliding_counts(features: DataFrame, widths: dict[int, tuple[str, ...]], **order_options) -> DataFrame:
+    """Add, per width in seconds, measures of the client in the window that ends at each row, as ``<measure>_<seconds>``.
 
-    Every row adds at its own time and takes back when it leaves the window, so the counts are running sums.
-    A topic counts once (if asked for): a row that follows another of its topic within the window takes the overlap back.
+    Every row adds at its own time and takes back when it leaves a window, so the counts are running sums; one sweep over
+    the rows and their departures serves all widths. A topic counts once: a row that follows another of its topic within the
+    window takes the overlap back.
     """
     features = features.where(F.col("ts").isNotNull())
     inputs = Inputs.of(features)
-    keep = features.columns
     order = Order(("client_id",), **order_options)
-    measures = {
-        "messages": F.lit(1), "qos2": inputs.is_qos2.cast("int"), "retained": inputs.retained.cast("int"),
-    }
-    flat = features.select("client_id", "topic", "ts", "seq", *[c.alias(n) for n, c in measures.items()])
-    leaves = F.timestamp_micros(F.unix_micros("ts") + seconds * 1_000_000 + 1)
-    repeated = F.unix_micros("ts") - F.unix_micros("_before") <= seconds * 1_000_000
-    overlap_ends = F.timestamp_micros(F.unix_micros("_before") + seconds * 1_000_000 + 1)
-
+    adds = {"messages": F.lit(1), "topics": F.lit(1), "qos2": inputs.is_qos2.cast("int"), "retained": inputs.retained.cast("int")}
+    columns = {f"{measure}_{seconds}": (measure, seconds) for seconds, measures in widths.items() for measure in measures}
+    used = {measure for measure, _ in columns.values()}
+    flat = features.select("client_id", "topic", "ts", "seq", *[adds[n].alias(n) for n in sorted(used - {"topics"})])
+    if "topics" in used:
+        flat = previous_ts(flat, Order(("client_id", "topic"), **order_options), "_before")
     before_instant = F.lit(None).cast(dict(flat.dtypes)["seq"])
 
-    def entry(at: Column, seq: Column, topics: int, sign: int) -> Column:
-        return F.struct(at.alias("ts"), seq.alias("seq"), F.lit(topics).alias("topics"),
-                        *[(F.col(n) * sign).cast("int").alias(n) for n in measures])
-
-    changes = [entry(leaves, before_instant, -1, -1)]
-    if distinct_topics:
-        flat = previous_ts(flat, Order(("client_id", "topic"), **order_options), "_before")
-        changes += [F.when(repeated, entry(F.col("ts"), F.col("seq"), -1, 0)),
-                    F.when(repeated, entry(overlap_ends, before_instant, 1, 0))]
+    def entry(at: Column, seq: Column, changed: dict[str, Column]) -> Column:
+        return F.struct(at.alias("ts"), seq.alias("seq"),
+                        *[changed.get(name, F.lit(0)).cast("int").alias(name) for name in columns])
+
+    changes = []
+    for seconds, measures in widths.items():
+        micros = seconds * 1_000_000
+        value = {f"{m}_{seconds}": -(F.lit(1) if m == "topics" else F.col(m)) for m in measures}
+        changes.append(entry(F.timestamp_micros(F.unix_micros("ts") + micros + 1), before_instant, value))
+        if "topics" in measures:
+            repeated = F.unix_micros("ts") - F.unix_micros("_before") <= micros
+            overlap_ends = F.timestamp_micros(F.unix_micros("_before") + micros + 1)
+            changes += [F.when(repeated, entry(F.col("ts"), F.col("seq"), {f"topics_{seconds}": F.lit(-1)})),
+                        F.when(repeated, entry(overlap_ends, before_instant, {f"topics_{seconds}": F.lit(1)}))]
     markers = flat.select("client_id", F.inline(F.array_compact(F.array(*changes))))
-    counted = running_totals(features, order, {**measures, "topics": F.lit(1)}, markers)
-    names = ["messages", "topics", "qos2", "retained"] if distinct_topics else ["messages", "qos2", "retained"]
-    return counted.select(*keep, *names)
+    return running_totals(features, order, {name: adds[measure] for name, (measure, _) in columns.items()}, markers)
 
 
 def detect_sliding(features: DataFrame, rules: Rules | None = None, **order_options) -> DataFrame:
     """Rows at which a client is over a rule's threshold within the window that ends there."""
     rules = rules or Rules()
-    columns = {"flood_detection": "messages", "topic_enumeration": "topics", "qos_abuse": "qos2",
-               "retain_abuse": "retained"}
-    parts = []
-    for seconds, keys in _by_window(rules, columns).items():
-        counted = sliding_counts(features, seconds, "topics" in keys.values(), **order_options).withColumn(
-            "_window", F.struct(F.col("ts").alias("start")))
-        parts.append(_alerts(counted, rules, keys).withColumnRenamed("window_start", "ts"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    measured = {"flood_detection": "messages", "topic_enumeration": "topics", "qos_abuse": "qos2", "retain_abuse": "retained"}
+    widths = {seconds: tuple(keys.values()) for seconds, keys in _by_window(rules, measured).items()}
+    counted = sliding_counts(features, widths, **order_options).withColumn("_window", F.struct(F.col("ts").alias("start")))
+    columns = {key: f"{measure}_{rules[key].window_seconds}" for key, measure in measured.items()}
+    return _alerts(counted, rules, columns).withColumnRenamed("window_start", "ts")
 
 
 def reconnect_storm(canonical: DataFrame, rules: Rules | None = None) -> DataFrame:

@@ -225,6 +225,13 @@ def detect_sliding(t: Tables) -> DataFrame:
     return alerts.withColumn("ts_us", F.unix_micros("ts")).drop("ts")
 
 
+@query("detect_sliding_sliced", " UNION ALL ".join(sliding_select(k) for k in COUNTING), "traffic")
+def detect_sliding_sliced(t: Tables) -> DataFrame:
+    """The same with clients cut into slices of about 500 rows."""
+    alerts = windows.detect_sliding(_features(t), WINDOW_RULES, max_rows=500)
+    return alerts.withColumn("ts_us", F.unix_micros("ts")).drop("ts")
+
+
 # --- streams; the events arrive as files and everything there is gets processed ---
 
 def _traffic_stream(t: Tables) -> DataFrame:
@@ -395,17 +402,26 @@ def duplicate_id_stats(t: Tables) -> DataFrame:
     return logs.duplicate_id_stats(t.view("duplicate_id_log"))
 
 
-@query("qos2_pairing", """
+QOS2_PAIRING = """
     WITH steps AS (SELECT *, lag(handshake_step) OVER place AS before, lag(ts) OVER place AS before_ts FROM qos2_log
       WHERE (action = 'publish' AND handshake_step = 'PUBLISH') OR handshake_step = 'PUBCOMP'
       WINDOW place AS (PARTITION BY client_id, message_id ORDER BY ts NULLS LAST, seq))
     SELECT client_id, message_id, seq, coalesce(before, '') <> 'PUBLISH' AS unexpected,
       CASE WHEN before = 'PUBLISH' THEN round((epoch_us(ts) - epoch_us(before_ts)) / 1000000, 6) END AS handshake_sec
-    FROM steps WHERE handshake_step = 'PUBCOMP'""", "qos2_log")
+    FROM steps WHERE handshake_step = 'PUBCOMP'"""
+
+
+@query("qos2_pairing", QOS2_PAIRING, "qos2_log")
 def qos2_pairing(t: Tables) -> DataFrame:
     return logs.qos2_pairing(t.view("qos2_log")).drop("ts").withColumn("handshake_sec", F.round("handshake_sec", 6))
 
 
+@query("qos2_pairing_sliced", QOS2_PAIRING, "qos2_log")
+def qos2_pairing_sliced(t: Tables) -> DataFrame:
+    """The same with message ids cut into slices of a few rows."""
+    return logs.qos2_pairing(t.view("qos2_log"), max_rows=2).drop("ts").withColumn("handshake_sec", F.round("handshake_sec", 6))
+
+
 QOS2_STATS = """
     SELECT *, round(pubcomp / published * 100, 4) AS completion_percent FROM (
       SELECT count(*) FILTER (action = 'publish' AND handshake_step = 'PUBLISH') AS published,

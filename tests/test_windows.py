@@ -40,12 +40,15 @@ def test_sliding(spark, options):
     rows = [(float(i) * 7 if i % 3 else float(i // 9) * 60, *r[1:]) for i, r in enumerate(rows)]
     # rows of one instant are counted up to the row itself
     ordered = sorted(enumerate(rows), key=lambda r: (r[1][0], r[0]))
+    measures = ("messages", "topics", "qos2", "retained")
     expected = {}
     for place, (seq, row) in enumerate(ordered):
-        group = [r for _, r in ordered[:place + 1] if r[1] == row[1] and row[0] - 300 <= r[0]]
-        expected[seq] = tuple(COUNTS[k](group) for k in ("flood_detection", "topic_enumeration", "qos_abuse", "retain_abuse"))
-    got = windows.sliding_counts(feature_rows(spark, rows), 300, **options).collect()
-    assert {r.seq: (r.messages, r.topics, r.qos2, r.retained) for r in got} == expected
+        for width in (300, 40):
+            group = [r for _, r in ordered[:place + 1] if r[1] == row[1] and row[0] - width <= r[0]]
+            expected[seq, width] = tuple(COUNTS[k](group) for k in ("flood_detection", "topic_enumeration", "qos_abuse", "retain_abuse"))
+    got = windows.sliding_counts(feature_rows(spark, rows), {300: measures, 40: measures[:2]}, **options).collect()
+    assert {(r.seq, 300): tuple(r[f"{m}_300"] for m in measures) for r in got} == {k: v for k, v in expected.items() if k[1] == 300}
+    assert {(r.seq, 40): (r.messages_40, r.topics_40) for r in got} == {k: v[:2] for k, v in expected.items() if k[1] == 40}
 
 
 def test_reconnect_and_duplicate(spark):
