@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import csv
 import fnmatch
+import io
 import logging
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,10 @@ from telemill.schemas import MISSING_CELLS
 
 log = logging.getLogger(__name__)
 
+HEADER_BYTES, MOST_HEADER_BYTES = 16 << 10, 1 << 20  # read of a file to find its header, at first and at most
+HEADERS_AT_ONCE = 16
+READS = 3  # tries
+
 
 def list_inputs(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.csv") -> list[str]:
     """Files below the inputs: folders by pattern (sorted), files as they are, each once.
@@ -36,20 +43,58 @@ def list_inputs(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.cs
     return list(found)
 
 
+def _beginning(spark: SparkSession, path: str, size: int) -> str:
+    """Up to ``size`` bytes of a file as text, decompressed by its name's ending; through Hadoop's file systems, as Spark reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    place = hadoop.fs.Path(path)
+    stream = place.getFileSystem(settings).open(place)
+    try:
+        codec = hadoop.io.compress.CompressionCodecFactory(settings).getCodec(place)
+        read = stream if codec is None else codec.createInputStream(stream)
+        return bytes(read.readNBytes(size)).decode("utf-8-sig", "replace")
+    finally:
+        stream.close()
+
+
+def _tried(read, path: str) -> str:
+    """The result of ``read``, tried again after a failure; the last failure is raised with the file's name."""
+    for left in reversed(range(READS)):
+        try:
+            return read()
+        except Py4JJavaError as error:
+            if not left:
+                raise PySparkException(f"the header of {path} can't be read: {error.java_exception}") from error
+    raise AssertionError
+
+
+def _first_record(text: str, whole: bool) -> tuple[str, ...] | None:
+    """The first record that isn't blank, line breaks in quotes included; None if the text may end within it."""
+    source = io.StringIO(text, newline="")
+    for record in csv.reader(source, strict=False):
+        if any(cell.strip() for cell in record):
+            return tuple(record) if whole or source.tell() < len(text) else None
+    return () if whole else None
+
+
 def read_headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ...]]:
-    """Column names of CSV files, by path, in one job; blank lines before a header are skipped.
+    """Column names of CSV files, by path; blank lines before a header are skipped.
 
-    Lines are numbered in their own task, and each task keeps one line per file, so little is shuffled. A file that can't
-    be read fails the job, after Spark's retries: left out here, all its rows would be missing.
+    The driver reads the beginning of each file only: HEADER_BYTES, and up to MOST_HEADER_BYTES where a header is longer.
+    A file that can't be read raises: left out here, all its rows would be missing.
     """
-    if not paths:
-        return {}
-    lines = (spark.read.text(paths)
-             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("line"))
-             .where((F.col("block") == 0) & (F.trim(F.regexp_replace("value", "^\ufeff", "")) != "")))
-    first = lines.groupBy("path").agg(F.min_by("value", "line").alias("value")).collect()  # a row per file
-    return {row["path"]: tuple(next(csv.reader([row["value"].lstrip("\ufeff")]))) for row in first}
+    def header(path: str) -> tuple[str, ...]:
+        size = HEADER_BYTES
+        while True:
+            text = _tried(lambda: _beginning(spark, path, size), path)
+            whole = len(text.encode("utf-8", "replace")) + 3 < size or size >= MOST_HEADER_BYTES
+            record = _first_record(text, whole)
+            if record is not None:
+                return record
+            size = min(size * 8, MOST_HEADER_BYTES)
+
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        return {path: found for path, found in zip(paths, pool.map(header, paths)) if found}
 
 
 def read_csv_group(spark: SparkSession, paths: list[str], header: tuple[str, ...], multiline: bool = True,
@@ -81,7 +126,7 @@ def scan_raw(spark: SparkSession, inputs: Iterable[str], pattern: str = "*.csv",
              malformed: list[Observation] | None = None) -> list[DataFrame]:
     """One table of text columns per distinct header among the input files; ``malformed`` gets an observation per table.
 
-    Which alias feeds a field depends on the file's header, so files are grouped by header; one job reads all headers.
+    Which alias feeds a field depends on the file's header, so files are grouped by header; no job is needed for that.
     """
     paths = list_inputs(spark, inputs, pattern)
     headers = {_plain(path): header for path, header in read_headers(spark, paths).items()}

@@ -1,5 +1,6 @@
 """Inputs that once were dropped, cut or misread."""
 
+import gzip
 from datetime import datetime
 
 import pytest
@@ -33,6 +34,18 @@ def test_numbers_have_no_bounds(spark):
     ("01-02-2024 10:00", datetime(2024, 1, 2, 10)),
     ("2024-01-01 10:00:00,123", datetime(2024, 1, 1, 10, 0, 0, 123000)),
     ("Jan 5, 2024 10:11:12.123456789 UTC", datetime(2024, 1, 5, 10, 11, 12, 123456)),
+    ("02 January 2024", datetime(2024, 1, 2)),
+    ("5 Jan 2024 10:00:00.123", datetime(2024, 1, 5, 10, 0, 0, 123000)),
+    ("Jan 5, 2024 3:04 PM", datetime(2024, 1, 5, 15, 4)),
+    ("Tue Jan  2 10:00:00 2024", datetime(2024, 1, 2, 10)),
+    ("Tue Jan  2 10:00:00 UTC 2024", datetime(2024, 1, 2, 10)),
+    ("2024-01-02 10:00 PM", datetime(2024, 1, 2, 22)),
+    ("1/2/2024 12:30 am", datetime(2024, 1, 2, 0, 30)),
+    ("1/2/24", datetime(2024, 1, 2)), ("31.12.99", datetime(1999, 12, 31)), ("5-Mar-68", datetime(2068, 3, 5)),
+    ("2024.01.02", datetime(2024, 1, 2)), ("13/01/2024", datetime(2024, 1, 13)), ("2 Sept 2024", datetime(2024, 9, 2)),
+    ("5 JANUARY 2024", datetime(2024, 1, 5)), ("Mon, 02 Jan 2024 10:00:00 +0530", datetime(2024, 1, 2, 4, 30)),
+    ("5 January 2024 10:00 -0800", datetime(2024, 1, 5, 18)), ("Jan 5 2024 10:00 EST", datetime(2024, 1, 5, 15)),
+    ("Foo 5, 2024", None), ("2024-01-02 25:00", None), ("2024-02-30 10:00 PM", None), ("Jan 5 2024 13:00 PM", None),
     ("no date", None),
 ])
 def test_date_spellings(spark, written, expected):
@@ -127,3 +140,28 @@ def test_latest_alerts(spark):
     assert latest == {("severity", "MEDIUM"), ("action", "ALERT")}  # the alert without a timestamp
     two = {(r.dimension, r.name): r.alerts for r in detection.alert_summary(made, 2).collect()}
     assert two[("severity", "HIGH")] == 1  # of the row before it the check made last
+
+
+def test_headers_with_line_breaks_and_long_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"time\nstamp",client_id,"say ""x"""\n1700000000,c1,y\n')
+    names = [f"column {i}" for i in range(5000)]
+    (tmp_path / "b.csv").write_bytes(b"\xef\xbb\xbf\r\n\r\n" + ",".join(names).encode() + b"\r\n" + b"1," * 4999 + b"1\r\n")
+    (tmp_path / "c.csv").write_text("only,a,header")
+    (tmp_path / "d.csv").write_text("\n \n")
+    with gzip.open(tmp_path / "e.csv.gz", "wt") as file:
+        file.write("timestamp,topic\n1,t\n")
+    paths = [str(tmp_path / n) for n in ("a.csv", "b.csv", "c.csv", "d.csv", "e.csv.gz")]
+    assert list(raw.read_headers(spark, paths).values()) == [
+        ("time\nstamp", "client_id", 'say "x"'), tuple(names), ("only", "a", "header"), ("timestamp", "topic")]
+    frame = raw.scan_raw(spark, paths[:1])[0]
+    assert frame.columns == ["time\nstamp", "client_id", 'say "x"'] and [tuple(r) for r in frame.collect()] == [("1700000000", "c1", "y")]
+
+
+def test_headers_read_the_beginning_only(spark, tmp_path, monkeypatch):
+    (tmp_path / "large.csv").write_text("timestamp,topic\n" + "1,t\n" * 500_000)
+    sizes, read = [], raw._beginning
+    monkeypatch.setattr(raw, "_beginning", lambda *a: sizes.append(len(text := read(*a))) or text)
+    assert raw.read_headers(spark, [str(tmp_path / "large.csv")]) == {str(tmp_path / "large.csv"): ("timestamp", "topic")}
+    assert sizes == [raw.HEADER_BYTES]
+    with pytest.raises(Exception, match="(?i)not exist|No such"):
+        raw.read_headers(spark, [str(tmp_path / "absent.csv")])
