@@ -125,13 +125,17 @@ def duplicate_id_stats(df: DataFrame) -> DataFrame:
         F.count_if(_true("conflict_detected")).alias("flagged_conflicts"))
 
 
+def handshake_steps() -> tuple[Column, Column]:
+    """Whether a row opens a handshake (PUBLISH) or completes one (PUBCOMP)."""
+    return _is("action", "publish") & _is("handshake_step", "PUBLISH"), _is("handshake_step", "PUBCOMP")
+
+
 def qos2_pairing(df: DataFrame, ts: str = "ts", seq: str = "seq", **order_options) -> DataFrame:
     """Every PUBCOMP with the seconds since its PUBLISH of the same client and message id.
 
     A PUBCOMP uses up the PUBLISH before it, so a second one is unexpected and has no time.
     """
-    publish = _is("action", "publish") & _is("handshake_step", "PUBLISH")
-    complete = _is("handshake_step", "PUBCOMP")
+    publish, complete = handshake_steps()
     state = F.when(publish | complete, F.struct(publish.alias("open"), F.col(ts).alias("at")))
     order = Order(("client_id", "message_id"), ts=ts, seq=seq, **order_options)
     relevant = df.where(publish | complete)

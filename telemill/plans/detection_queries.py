@@ -15,7 +15,7 @@ from telemill.schemas import ATTACK_LOG_SCHEMAS
 from telemill.session import scratch_path
 from telemill.sources import messages as message_source
 from telemill.sources import tables
-from telemill.streaming import collect, detect, sinks
+from telemill.streaming import collect, detect, handshakes, sinks
 
 # --- detection over the whole run ---
 
@@ -234,11 +234,15 @@ def detect_sliding_sliced(t: Tables) -> DataFrame:
 
 # --- streams; the events arrive as files and everything there is gets processed ---
 
-def _traffic_stream(t: Tables) -> DataFrame:
-    """The traffic view over a stream of the events file."""
+def _streamed(t: Tables, view: str) -> DataFrame:
+    """A view over a stream of the events file."""
     events = message_source.message_stream(
         t.spark, t.folder, schema=t.table("events").schema, glob="events.parquet")
-    return t.view("traffic", events)
+    return t.view(view, events)
+
+
+def _traffic_stream(t: Tables) -> DataFrame:
+    return _streamed(t, "traffic")
 
 
 def _run(t: Tables, stream: DataFrame, name: str) -> DataFrame:
@@ -422,6 +426,12 @@ def qos2_pairing_sliced(t: Tables) -> DataFrame:
     return logs.qos2_pairing(t.view("qos2_log"), max_rows=2).drop("ts").withColumn("handshake_sec", F.round("handshake_sec", 6))
 
 
+@query("qos2_pairing_stream", QOS2_PAIRING, "qos2_log")
+def qos2_pairing_stream(t: Tables) -> DataFrame:
+    paired = _run(t, handshakes.qos2_pairing_stream(_streamed(t, "qos2_log")), "handshakes")
+    return paired.drop("ts").withColumn("handshake_sec", F.round("handshake_sec", 6))
+
+
 QOS2_STATS = """
     SELECT *, round(pubcomp / published * 100, 4) AS completion_percent FROM (
       SELECT count(*) FILTER (action = 'publish' AND handshake_step = 'PUBLISH') AS published,

@@ -1,16 +1,17 @@
 """Streams give what the batch gives; rows beyond the watermark are dropped."""
 
+import random
 import time
 
 import pytest
 from helpers import at, in_order, random_features
 from pyspark.sql import functions as F
 
-from telemill.operators import detection, messages, windows
+from telemill.operators import detection, logs, messages, windows
 from telemill.operators.detection import Rules
 from telemill.schemas import MESSAGE_SCHEMA
 from telemill.sources.messages import message_stream
-from telemill.streaming import collect, detect, sinks
+from telemill.streaming import collect, detect, handshakes, sinks
 
 FEATURES = "seq BIGINT, ts TIMESTAMP, client_id STRING, topic STRING, payload_length BIGINT, qos INT, retain_flag INT"
 CONNECTIONS = "client_id STRING, ts TIMESTAMP, packet_type STRING, src_ip STRING"
@@ -154,3 +155,15 @@ def test_idle_clients_are_forgotten(spark, arrivals, tmp_path):
     finally:
         query.stop()
     assert [r.seq for r in spark.read.schema(alerts.schema).parquet(path).collect()] == [2]
+
+
+def test_handshakes_across_batches_and_restarts(arrivals):
+    schema = "seq BIGINT, ts TIMESTAMP, client_id STRING, message_id BIGINT, action STRING, handshake_step STRING"
+    rng = random.Random(4)
+    rows = [(i, at(i // 2) if i < 115 else None, rng.choice(["a", "b", None]), rng.choice([1, 2, None]), "publish",
+             rng.choice(["PUBLISH", "PUBCOMP", "PUBREC"])) for i in range(120)]
+    rng.shuffle(middle := rows[40:70])
+    for part in (rows[:40], middle, rows[70:]):
+        arrivals.add(part, schema)
+        found = arrivals.run(handshakes.qos2_pairing_stream(arrivals.stream(schema)))
+    assert same(found, logs.qos2_pairing(arrivals.batch()))
