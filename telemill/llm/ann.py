@@ -6,9 +6,9 @@ on to the branch whose plane it is nearest to, until the leaves reached hold ``v
 Distances to all vectors in these leaves are exact, in double precision. Equal vectors are indexed once, with the smallest
 of their ids.
 
-How many vectors have to be looked at depends on the table's size and structure. It is measured: some of the queries are
-compared with all vectors, and ``visit`` is what reaches the share RECALL of their true neighbours. Where that is more than
-WORTH of all vectors (each is in every tree), the trees save nothing, and every query is compared with every vector.
+How many vectors have to be looked at depends on the table's size and structure. It is measured: MEASURED of the queries are
+compared with all vectors, and ``visit`` is what reaches the share RECALL of their true neighbours through the forest. On a
+table with no more entries than SEARCH every leaf is reached, so the result is exact there.
 
 Defined cases: vectors that are null, zero, hold nulls or non-finite numbers, or differ in dimension from the most
 frequent one, take no part, nor do rows of null id; repeated ids are rows of their own, and a query never finds its own
@@ -34,8 +34,6 @@ SAMPLE_VALUES = 16_000_000  # numbers in a sample of more than SAMPLE vectors, a
 TREES, LEAF = 12, 32  # LEAF: sampled vectors per leaf
 SEARCH = 40_000  # vectors, over all trees, whose leaves a query looks at, at least
 RECALL, MEASURED = 0.98, 128  # share of the true neighbours of so many queries that has to be reached
-WORTH = 0.5  # of all vectors: looking at more costs more than comparing with all
-BLOCK = 32_768  # vectors, and queries, that meet in a step of the comparison with all
 
 
 @dataclasses.dataclass
@@ -182,8 +180,8 @@ def _first(found: DataFrame, most: int) -> DataFrame:
     return found.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).select("query", "own", "score")
 
 
-def needed(distinct: DataFrame, asked: DataFrame, forest: Forest, most: int, limit: float) -> float:
-    """Vectors to look at so that RECALL of the true neighbours of some queries are reached; infinite from ``limit`` on.
+def needed(distinct: DataFrame, asked: DataFrame, forest: Forest, most: int) -> float:
+    """Vectors to look at so that RECALL of the true neighbours of some queries are reached.
 
     The queries (``asked`` holds their own) are taken by hash. They are compared with all vectors.
     """
@@ -208,32 +206,21 @@ def needed(distinct: DataFrame, asked: DataFrame, forest: Forest, most: int, lim
     places = forest.leaves(_matrix(true.column("vector"))) + np.arange(len(forest.planes)) * size
     before = np.full(len(query), np.inf)
     for name, point in zip(names, points):
-        seen = dict(takewhile(lambda x: x[1] < limit, forest.walk(point)))
+        at = {}  # the leaves of the query's neighbours
         for i in np.flatnonzero(query == name).tolist():
-            before[i] = min(seen.get(place, np.inf) for place in places[i].tolist())
+            for place in places[i].tolist():
+                at.setdefault(place, []).append(i)
+        open_ = {i for found in at.values() for i in found}
+        for place, seen in forest.walk(point):
+            for i in open_.intersection(at.get(place, ())):
+                before[i] = seen
+                open_.remove(i)
+            if not open_:
+                break
     # a leaf is looked at if less than `visit` vectors are before it
     return float(np.nextafter(np.sort(before)[int(np.ceil(RECALL * len(before))) - 1], np.inf))
 
 
-def dealt(distinct: DataFrame, asked: DataFrame, total: int) -> DataFrame:
-    """place, stored, own, vector: every query meets every vector in one place; places are dealt evenly."""
-    n = partitions(distinct.sparkSession)
-    blocks, rounds = n * -(-total // (n * BLOCK)), max(1, -(-asked.count() // BLOCK))
-
-    def part(of: int) -> Column:
-        return F.pmod(F.xxhash64("own"), F.lit(of))
-
-    def each(of: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
-
-    stored = distinct.select("own", "vector", part(blocks).alias("block"), each(rounds).alias("round"), F.lit(True).alias("stored"))
-    queries = distinct.join(asked, "own").select(
-        "own", "vector", each(blocks).alias("block"), part(rounds).alias("round"), F.lit(False).alias("stored"))
-    rows = stored.unionByName(queries).withColumn("place", F.col("round") * blocks + F.col("block"))
-    return (rows.select("place", "stored", "own", "vector").repartitionById(n, F.pmod("block", F.lit(n)).cast("int"))
-            .sortWithinPartitions("place", "stored"))
-
-
 def search(vectors: DataFrame, is_query: Column, neighbours: int = 10, id_col: str = "vec_id",
            vector_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, sample: int | None = None,
            visit: int | None = None) -> DataFrame:
@@ -252,18 +239,14 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 10, id_col: s
     total = distinct.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    whole = visit is None and total * WORTH <= SEARCH
-    forest = None
-    if not whole:
-        dimension = distinct.select(F.size("vector")).first()[0]
-        fit_on = max(SAMPLE, min(int(SAMPLED * total), SAMPLE_VALUES // dimension)) if sample is None else sample
-        order = F.xxhash64("own")
-        fitted = distinct.orderBy(order).limit(fit_on).select("own", "vector").toArrow().sort_by("own")
-        forest = Forest.fit(_matrix(fitted.column("vector")), total, trees, leaf)
-        if visit is None:
-            visit = max(SEARCH, needed(distinct, asked, forest, most, total * WORTH))
-            whole = visit > total * WORTH
-        forest = spark.sparkContext.broadcast(forest)  # bounded by the sample
+    dimension = distinct.select(F.size("vector")).first()[0]
+    fit_on = max(SAMPLE, min(int(SAMPLED * total), SAMPLE_VALUES // dimension)) if sample is None else sample
+    order = F.xxhash64("own")
+    fitted = distinct.orderBy(order).limit(fit_on).select("own", "vector").toArrow().sort_by("own")
+    forest = Forest.fit(_matrix(fitted.column("vector")), total, trees, leaf)
+    if visit is None:
+        visit = SEARCH if total * trees <= SEARCH else max(SEARCH, needed(distinct, asked, forest, most))
+    forest = spark.sparkContext.broadcast(forest)  # bounded by the sample
 
     def entries(batches):
         for batch in batches:
@@ -312,12 +295,9 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 10, id_col: s
             look(pa.Table.from_batches(held))
         yield from best.batches()
 
-    if whole:
-        met = dealt(distinct, asked, total)
-    else:
-        source = distinct.join(asked.withColumn("asked", F.lit(True)), "own", "left").select("own", "vector", "asked")
-        met = (source.mapInArrow(entries, "place long, stored boolean, own long, vector array<double>")
-               .repartition(partitions(spark), "place").sortWithinPartitions("place", "stored"))
+    source = distinct.join(asked.withColumn("asked", F.lit(True)), "own", "left").select("own", "vector", "asked")
+    met = (source.mapInArrow(entries, "place long, stored boolean, own long, vector array<double>")
+           .repartition(partitions(spark), "place").sortWithinPartitions("place", "stored"))
     found = _first(met.mapInArrow(nearest, FOUND).distinct(), most)
     copies = found.join(distinct.select("own", "ids"), "own").select("query", "score", F.explode("ids").alias("vec_id"))
     pairs = (queries.select(F.col("vec_id").alias("query_id"), F.col("own").alias("query")).join(copies, "query")

@@ -224,18 +224,18 @@ def recall(got, points, queries):
     return len(found & true) / len(true)
 
 
-@pytest.mark.parametrize("n", [130_000, 200_000])
+@pytest.mark.parametrize("n", [5_000, 51_000, 130_000, 200_000])
 def test_search_recall_does_not_fall_with_the_table(spark, tmp_path, n):
     points, made = random_vectors(spark, tmp_path, n, 64)
     got = ann.search(made, F.col("vec_id") % (n // 40) == 0).collect()
-    assert recall(got, points, range(0, n, n // 40)) >= 0.95
+    reached = recall(got, points, range(0, n, n // 40))
+    print("RECALL", n, reached)
+    assert reached >= 0.95
 
 
 def test_visit_is_measured(spark, tmp_path, monkeypatch):
     n = 20_000
-    monkeypatch.setattr(ann, "SEARCH", 100)  # so that the least is far too little, and the trees are worth it
-    monkeypatch.setattr(ann, "WORTH", 3.0)
-    monkeypatch.setattr(ann, "dealt", None)  # the comparison with all isn't taken
+    monkeypatch.setattr(ann, "SEARCH", 100)  # so that the least is far too little
     points, made = random_vectors(spark, tmp_path, n, 24)
     got = ann.search(made, F.col("vec_id") % 100 == 0).collect()
     assert recall(got, points, range(0, n, 100)) >= 0.95
@@ -243,8 +243,7 @@ def test_visit_is_measured(spark, tmp_path, monkeypatch):
     assert recall(less, points, range(0, n, 100)) < 0.95
 
 
-def test_comparison_with_all_is_exact(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 7)  # several rounds and blocks
+def test_small_tables_are_searched_whole(spark, tmp_path):
     points, made = random_vectors(spark, tmp_path, 900, 6)
     rows = {i: p for i, p in enumerate(points)}
     got = sorted(map(tuple, ann.search(made, F.col("vec_id") % 20 == 0).collect()))
