@@ -2,6 +2,11 @@
 
 Every stage works on all that its predecessor kept. The first three drop documents, the fourth removes repeated passages
 from texts (whole characters only), the last packs what remains into token sequences.
+
+Defined cases, in every stage: a null text is empty (it fails the quality rules); rows of a null id are judged like others,
+never as copies; repeated rows are judged each, and rows of one id by their own texts; of equal or near documents the
+smallest id stays; an empty table gives an empty result; all columns of ``documents``, whatever their names, stay as they are
+but ``text`` and ``n_chars`` of the fourth stage, which needs both. Without labels nothing is toxic and every line is content.
 """
 
 from __future__ import annotations
