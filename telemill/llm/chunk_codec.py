@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from telemill.llm.runtime import held, ship
 from telemill.llm.tokens import Encoder
-from telemill.llm.words import Hasher, Memo, blocks, pick, sums, words
+from telemill.llm.words import LARGE_BLOCK, Hasher, Memo, blocks, pick, sums, words
 
 WINDOW = 16
 
@@ -156,7 +156,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every text. One narrow pass, no shuffle."""
     def run(batches):
-        for rows, data, offsets in blocks(batches, "text"):
+        for rows, data, offsets in blocks(batches, "text", LARGE_BLOCK):
             flat, bounds = codec(tokenizer_path).encode(data, offsets)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.astype(np.int32)))],
@@ -185,7 +185,7 @@ def codec_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
     def run(batches):
         numbers: list[str] = []
-        for rows, data, offsets in blocks(batches, "text"):
+        for rows, data, offsets in blocks(batches, "text", LARGE_BLOCK):
             own = codec(tokenizer_path)
             numbers = numbers or list(map(str, range(own.encoder.size)))
             flat, bounds = own.encode(data, offsets)

@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.llm.runtime import drop_held, free_shuffles, keep, partitions, ship, spare_name
-from telemill.llm.words import Hasher, blocks
+from telemill.llm.words import LARGE_BLOCK, Hasher, blocks
 
 GRAM = 16
 SALTS = 64
 RUNS_AT_ONCE = 20_000
-SETTLED = 4 << 20  # bytes of text whose repeats are settled with each other before anything is shuffled
+SETTLED = LARGE_BLOCK  # bytes of text whose repeats are settled with each other before anything is shuffled
 
 
 class Runs:
@@ -258,7 +258,7 @@ def _covered(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, name:
 def removal_digests(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     def run(batches):
-        for rows, data, offsets in blocks(batches, "text"):
+        for rows, data, offsets in blocks(batches, "text", LARGE_BLOCK):
             gone = _covered(rows, data, offsets)
             new = gone.copy()
             new[1:] &= ~gone[:-1]
@@ -286,7 +286,7 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", te
     named = ranges.select(F.col("doc_id").alias(key), F.col("text_hash").alias(kind), F.col("ranges").alias(found))
 
     def run(batches):
-        for rows, data, offsets in blocks(batches, text_col):
+        for rows, data, offsets in blocks(batches, text_col, LARGE_BLOCK):
             gone = _covered(rows, data, offsets, found)
             lead = (data & 0xC0) != 0x80
             lead[offsets[:-1][offsets[:-1] < len(data)]] = True

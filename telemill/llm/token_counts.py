@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.runtime import held, ship
-from telemill.llm.words import Memo, blocks, remembered, sums
+from telemill.llm.words import LARGE_BLOCK, Memo, blocks, remembered, sums
 
 SPACE = "▁"  # how the vocabulary writes a space
 _SPACE_BYTES = SPACE.encode()
@@ -121,7 +121,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int, id_col: str = "do
     ship(docs.sparkSession)
 
     def run(batches):
-        for rows, data, offsets in blocks(batches, "text"):
+        for rows, data, offsets in blocks(batches, "text", LARGE_BLOCK):
             counts = counter(model_path).count(data, offsets)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(np.diff(offsets)), pa.array(counts.astype(np.int64)),

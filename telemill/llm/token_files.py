@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from telemill.llm.runtime import partitions, ship
 from telemill.llm.tokens import encoder
-from telemill.llm.words import blocks
+from telemill.llm.words import LARGE_BLOCK, blocks
 
 BLOCK_IDS = 1 << 16
 SAMPLE = 32
@@ -100,7 +100,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         shard, first = TaskContext.get().partitionId(), 0
         own = encoder(tokenizer_path)
         kind = own.kind if end_id <= np.iinfo(own.kind).max else np.uint32
-        for rows, data, offsets in blocks(batches, "text"):
+        for rows, data, offsets in blocks(batches, "text", LARGE_BLOCK):
             flat, bounds = own.encode(data, offsets)
             ends = bounds[1:] + np.arange(1, len(bounds))
             all_ids = np.full(int(ends[-1]), end_id, kind)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20  # texts are worked on in blocks of about this many bytes; a longer text is a block of its own
+LARGE_BLOCK = 4 << 20  # where work per block counts and a block needs little besides
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
