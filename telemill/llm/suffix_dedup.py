@@ -173,18 +173,17 @@ def radix_passes(digit: np.ndarray, doc: np.ndarray, anchor: np.ndarray, spans:
         if not len(alive):
             break
         key = group if depth is None else words[at[alive] + depth].copy().view(np.uint64).ravel()
-        order = np.lexsort((who[alive], key)) if depth is None else np.lexsort((who[alive], key, group))
+        order = np.argsort(key, kind="stable") if depth is None else np.lexsort((key, group))
         alive, key, group = alive[order], key[order], group[order]
         first = np.ones(len(alive), bool)
         first[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        last = np.append(first[1:], True)
-        group = np.cumsum(first) - 1
-        several = (who[alive[first]] < who[alive[last]])[group]
+        group, at_first, members = np.cumsum(first) - 1, np.flatnonzero(first), who[alive]
+        several = (np.minimum.reduceat(members, at_first) < np.maximum.reduceat(members, at_first))[group]
         alive, group = alive[several], group[several]
     if len(alive):
         first = np.ones(len(alive), bool)
         first[1:] = group[1:] != group[:-1]
-        smallest = who[alive[first]][np.cumsum(first) - 1]
+        smallest = np.minimum.reduceat(who[alive], np.flatnonzero(first))[np.cumsum(first) - 1]
         covered[alive] = who[alive] > smallest
     return covered
 
