@@ -4,11 +4,12 @@ Every text is cut into windows, runs of letters; a window is compressed with eit
 lengths says which kind of text it is nearer to. Before compression each letter is written as four bytes that depend on
 it alone: zstandard matches three bytes at least and counts whole bytes, so that single letters of a short window tell.
 
-The toxic dictionary holds the windows of toxic documents that begin as windows of ordinary documents rarely do, the
-ordinary one the most frequent windows of ordinary documents; frequent ones stand last, where references are short. A
-window is suspicious if its toxic length is at most ``longest`` and shorter by ``least`` bytes than its ordinary length.
-Both thresholds and the logistic mapping from a document's suspicious windows to its score are calibrated on the same
-labelled sample.
+Each dictionary is trained on all windows of its kind of document: those that at least two documents have, the most
+frequent last, where references are short, as many as fit. Nothing compares the two kinds before compression does.
+A window is suspicious if its toxic length is at most ``longest`` and shorter by ``least`` bytes than its ordinary length.
+These thresholds, the size of the toxic dictionary and the logistic mapping from a document's suspicious windows to its
+score are calibrated on lengths that no window's own document had a part in: documents are dealt into ``FOLDS`` folds,
+equal ones together, and a fold is measured with dictionaries of the others.
 
 Defined cases: a null or empty text has no windows and gets the score of the intercept; without labelled rows of both
 kinds every score is 0; null ids of rows stay null and are not held out; repeated rows are scored each; an empty table
@@ -20,6 +21,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -27,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import filter_texts, held, ship
+from telemill.llm.runtime import discard, filter_texts, held, keep, partitions, ship
 from telemill.llm.words import LOWER, Memo, blocks, remembered, sums, words
 
 SAMPLE_DOCS = 8000  # labelled documents learnt from, at most
-DICTIONARY_BYTES = 1 << 17
+ORDINARY_BYTES = 1 << 19  # of the ordinary dictionary, at most
+TOXIC_BYTES = (1 << 14, 1 << 15, 3 << 14, 1 << 16)  # sizes to choose from for the toxic one
+LEAST_DOCS = 2  # documents that have a window of a dictionary, at least
+FOLDS = 4
 THRESHOLD = 0.3  # score from which a document counts as toxic
-LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4, 0.02, 12.0  # a toxic beginning: in so many toxic documents, likelier there
-LETTERS = (3, 12)  # lengths of the beginnings that are compared
 
 _NO_LETTER = np.ones(256, bool)
 _NO_LETTER[97:123] = _NO_LETTER[128:] = False
@@ -75,8 +78,9 @@ class Distance:
         import zstandard as zstd
 
         def compressor(content: bytes):
+            log = max(len(content).bit_length() + 1, 12)
             parameters = zstd.ZstdCompressionParameters(
-                window_log=20, hash_log=18, chain_log=18, search_log=9, min_match=4, target_length=64,
+                window_log=20, hash_log=log - 1, chain_log=log, search_log=5, min_match=4, target_length=64,
                 strategy=zstd.STRATEGY_BTLAZY2, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0,
                 write_checksum=0, write_dict_id=0)
             dictionary = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -144,64 +148,42 @@ def document_features(gain: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dictionary(windows: Counter) -> bytes:
-    """The most frequent windows, the most frequent last, and a tail that zstandard doesn't index."""
-    ranked = sorted(windows.items(), key=lambda x: (-x[1], x[0]))
-    content, size = [], 0
-    for window, _ in ranked:
-        spelled = spell(window)
-        size += len(spelled)
-        if size > DICTIONARY_BYTES:
+def _dictionary(windows: list[str], counts: np.ndarray, size: int) -> bytes:
+    """The windows that documents share, the most frequent last, and a tail that zstandard doesn't index."""
+    ranked = sorted(np.flatnonzero(counts >= LEAST_DOCS).tolist(), key=lambda i: (-counts[i], windows[i]))
+    content, used = [], 0
+    for i in ranked:
+        spelled = spell(windows[i])
+        used += len(spelled)
+        if used > size:
             break
         content.append(spelled)
     return b"".join(reversed(content)) + bytes(range(16))
 
 
-def toxic_beginnings(toxic: list[set[str]], ordinary: list[set[str]]) -> set[str]:
-    """Beginnings of windows that toxic documents have far likelier than ordinary ones."""
-    low, high = LETTERS
+def calibrate(label: np.ndarray, row: np.ndarray, pairs: np.ndarray) -> tuple[int, int, int, np.ndarray]:
+    """Dictionary (index into TOXIC_BYTES), ``least``, ``longest`` and weights from windows measured by other folds.
 
-    def beginnings(windows: set[str]) -> set[str]:
-        return {w[:n] for w in windows for n in range(low, min(high, len(w)) + 1)}
-
-    many = Counter()
-    for windows in toxic:
-        many.update(beginnings(windows))
-    found = {b: n for b, n in many.items() if n >= max(LEAST_DOCS, LEAST_SHARE * len(toxic))}
-    few = Counter()
-    for windows in ordinary:
-        few.update(b for b in beginnings(windows) if b in found)
-    a, b = len(toxic) + 1, len(ordinary) + 1
-    return {k for k, n in found.items() if (n - 0.5) / a >= LEAST_ODDS * (few[k] + 0.5) / b}
-
-
-def learn(documents: list[tuple[list[str], int]]) -> Model | None:
-    """A model of labelled documents, each given as its windows."""
-    toxic = [set(w) for w, label in documents if label]
-    ordinary = [set(w) for w, label in documents if not label]
-    if not toxic or not ordinary:
-        return None
-    begin, (low, high) = toxic_beginnings(toxic, ordinary), LETTERS
-    count = Counter(w for windows in toxic for w in windows
-                    if any(w[:n] in begin for n in range(low, min(high, len(w)) + 1)))
-    plain = Counter(w for windows in ordinary for w in windows)
-    if not count:
-        return None
-    model = Model(_dictionary(plain), _dictionary(count), 1, 0, np.zeros(3))
-    distance, cache = Distance(model.ordinary, model.toxic), {}
-    flat = np.array([cache[w] if w in cache else cache.setdefault(w, distance.window(w))
-                     for windows, _ in documents for w in windows], np.int64).reshape(-1, 2)
-    bounds = np.concatenate([[0], np.cumsum([len(windows) for windows, _ in documents])])
-    label, best = np.array([x for _, x in documents], float), -1.0
-    lowest = int(flat[:, 1].min())
-    for longest in range(lowest, lowest + 10):
-        for least in range(1, 16):  # the thresholds with the best F1, a document being toxic by one suspicious window
-            hit = sums(gains(flat, least, longest) > 0, bounds) > 0
-            f1 = 2 * (hit & (label > 0)).sum() / max(hit.sum() + label.sum(), 1)
-            if f1 > best:
-                best, model.least, model.longest = f1, least, longest
-    model.weights = logistic(document_features(gains(flat, model.least, model.longest), bounds), label)
-    return model
+    ``pairs`` holds (dictionary, gain, toxic length, windows) of positive gain, ``row`` the document that each is of.
+    """
+    best, chosen, dictionary = -1.0, (0, 1, 0), pairs[:, 0]
+    for n in range(len(TOXIC_BYTES)):
+        of, gain, length = row[dictionary == n], pairs[dictionary == n, 1], pairs[dictionary == n, 2]
+        for longest in range(int(length.min(initial=0)), int(length.min(initial=0)) + 16):
+            top = np.zeros(len(label), np.int64)
+            np.maximum.at(top, of[length <= longest], gain[length <= longest])
+            for least in range(1, 16):  # the thresholds with the best F1, a document being toxic by one suspicious window
+                hit = top >= least
+                f1 = 2 * (hit & (label > 0)).sum() / max(hit.sum() + label.sum(), 1)
+                if f1 > best:
+                    best, chosen = f1, (n, least, longest)
+    n, least, longest = chosen
+    use = (dictionary == n) & (pairs[:, 1] >= least) & (pairs[:, 2] <= longest)
+    features = np.zeros((len(label), 3))
+    features[:, 0] = 1
+    np.maximum.at(features[:, 1], row[use], pairs[use, 1] / 20)
+    features[:, 2] = np.log1p(np.bincount(row[use], pairs[use, 3], len(label)))
+    return n, least, longest, logistic(features, label.astype(float)).round(6)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -223,27 +205,72 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_doc
         id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """A model of at most ``sample_docs`` labelled documents that aren't held out, those with the smallest hashed ids.
 
-    Only the distinct windows of these documents come to the driver.
+    Windows are counted and measured by Spark. The driver gets those that two documents share, for the dictionaries, and
+    per document its distinct pairs of lengths.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     chosen = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
               .dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
 
-    def run(batches):
+    def cut(batches):
         for rows, data, offsets in blocks(batches, "text"):
             lowered, starts, ends = _windows(data, offsets)
             text, bounds = lowered.tobytes(), np.searchsorted(starts, offsets, "left").tolist()
             spans = list(zip(starts.tolist(), ends.tolist()))
-            out = [" ".join(sorted({_letters(text[s:e]) for s, e in spans[a:b]})) for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(out, pa.string())],
-                                             ["doc_id", "label", "windows"])
+            out = [sorted({_letters(text[s:e]) for s, e in spans[a:b]} - {""}) for a, b in zip(bounds, bounds[1:])]
+            fold = [zlib.crc32(" ".join(w).encode()) % FOLDS for w in out]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fold, pa.int32()), rows.column(2),
+                                              pa.array(out, pa.list_(pa.string()))], ["doc_id", "fold", "label", "windows"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    found = (source.join(F.broadcast(chosen), "doc_id")  # sample_docs rows at most
-             .select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, windows string").toPandas()
-             .sort_values(["doc_id", "windows"], kind="stable"))
-    return learn([(w.split(), int(x > 0)) for w, x in zip(found["windows"], found["label"])])
+    sample = keep(source.join(F.broadcast(chosen), "doc_id")  # sample_docs rows at most
+                  .select("doc_id", "text", F.least(F.greatest("label", F.lit(0)), F.lit(1)).alias("label"))
+                  .mapInArrow(cut, "doc_id long, fold int, label int, windows array<string>"), "toxicity")
+    if sample.agg(F.min("label"), F.max("label")).first()[:] != (0, 1):
+        return None
+    kinds = [(x, k) for x in (0, 1) for k in range(FOLDS)]
+    counted = (sample.select("label", "fold", F.explode("windows").alias("window")).groupBy("window")
+               .agg(*[F.sum(((F.col("label") == x) & (F.col("fold") == k)).cast("int")).alias(f"n{x}{k}") for x, k in kinds])
+               .filter(" OR ".join(f"{' + '.join(f'n{x}{k}' for k in range(FOLDS))} >= {LEAST_DOCS}" for x in (0, 1)))
+               .toArrow())
+    windows = counted.column("window").to_pylist()
+    count = np.array([counted.column(f"n{x}{k}").to_numpy() for x, k in kinds], np.int64).reshape(2, FOLDS, -1)
+
+    def trained(x: int, size: int, without: int | None = None) -> bytes:
+        return _dictionary(windows, count[x].sum(0) - (0 if without is None else count[x, without]), size)
+
+    others = [(trained(0, ORDINARY_BYTES, k), [trained(1, size, k) for size in TOXIC_BYTES]) for k in range(FOLDS)]
+
+    def measure(batches):
+        at, known, distances = None, {}, []
+        for batch in batches:
+            out = []
+            for fold, held_windows in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                if fold != at:
+                    at, known = fold, {}
+                    distances = [Distance(others[fold][0], toxic) for toxic in others[fold][1]]
+                found: Counter = Counter()
+                for window in held_windows:
+                    if window not in known:
+                        spelled = spell(window)
+                        ordinary = len(distances[0].ordinary(spelled))
+                        lengths = [len(d.toxic(spelled)) for d in distances]
+                        known[window] = [(n, ordinary - x, x) for n, x in enumerate(lengths) if x < ordinary]
+                    found.update(known[window])
+                out.append([y for key in sorted(found) for y in (*key, found[key])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int32()))],
+                                             ["doc_id", "label", "pairs"])
+
+    measured = (sample.repartition(partitions(spark), "fold", F.xxhash64("doc_id") % 8).sortWithinPartitions("fold")
+                .mapInArrow(measure, "doc_id long, label int, pairs array<int>").toArrow().sort_by("doc_id"))
+    discard(sample)
+    pairs = measured.column("pairs").combine_chunks()
+    sizes = pairs.value_lengths().to_numpy().astype(np.int64) // 4
+    flat = pairs.flatten().to_numpy().astype(np.int64).reshape(-1, 4)
+    n, least, longest, weights = calibrate(measured.column("label").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), flat)
+    return Model(trained(0, ORDINARY_BYTES), trained(1, TOXIC_BYTES[n]), least, longest, weights)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id_col: str = "doc_id",

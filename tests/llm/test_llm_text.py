@@ -272,6 +272,41 @@ def test_toxicity(spark, odd, nothing):
     assert {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
 
 
+def brute_score(model, text):
+    """By the definition: every window compressed afresh with both dictionaries, no blocks, no memory."""
+    gain = []
+    for window in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        ordinary, toxic = toxicity.Distance(model.ordinary, model.toxic).window(window)
+        if ordinary - toxic >= model.least and toxic <= model.longest:
+            gain.append(ordinary - toxic)
+    x = model.weights @ [1, max(gain, default=0) / 20, np.log1p(len(gain))]
+    return 1 / (1 + np.exp(-x))
+
+
+def test_toxicity_equals_brute_force(spark):
+    rows = [(i, prose(i, 40) + (" you moron, scum" if i % 4 == 0 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels)
+    probe = rows[:12] + [(900, "MORON scums a"), (901, None), (902, ""), (903, "12 moron_scum idiot's")]
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, probe), model).collect()}
+    assert all(got[i] == pytest.approx(brute_score(model, text)) for i, text in probe)
+
+
+def test_dictionaries_hold_all_shared_windows(spark):
+    rows = [(i, f"alpha Beta gamma word{chr(97 + i)}" if i % 2 else f"Alpha scum other{chr(97 + i)}") for i in range(24)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels)
+    assert all(toxicity.spell(w) in model.ordinary for w in ("alpha", "beta", "gamma"))
+    assert all(toxicity.spell(w) in model.toxic for w in ("alpha", "scum"))
+    assert toxicity.spell("scum") not in model.ordinary and toxicity.spell("wordb") not in model.ordinary
+    only = labels.filter("toxic = 1")
+    assert toxicity.fit(frame(spark, rows), only) is None
+    empty = toxicity.fit(frame(spark, [(1, None), (3, ""), (5, " 1 ")]), labels)
+    assert empty is None or empty.weights.shape == (3,)
+    texts = frame(spark, [(i, [None, "", "12"][i % 3]) for i in range(12)])
+    assert {r.predicted for r in toxicity.score(texts, toxicity.fit(texts, labels)).collect()} <= {0, 1}
+
+
 def test_model_ignores_held_out_labels(spark):
     rows = [(i, prose(i, 40) + (" moron" if i % 3 == 0 else "")) for i in range(300)]
     docs = frame(spark, rows)
