@@ -10,6 +10,9 @@ documents are grouped by most-significant-digit passes, only as deep as ``width`
    anchor and then by eight bytes a pass. A group that has become one document's is dropped at once. After the last pass
    equal groups are exactly the repeated strings; all but those of the smallest id are covered.
 
+A digit of more than ``HOT`` runs isn't left to one task: its suffixes are shuffled and ordered by all their ``width`` bytes.
+Tasks settle what they hold first and send a string once, for its smallest document.
+
 Within a block of documents a run that repeats is sent once for its smallest id, and a digit that several documents of
 the block share is sent for two of them, so that frequent passages don't gather in one task.
 
@@ -33,6 +36,8 @@ from telemill.llm.words import LARGE_BLOCK, Hasher, blocks
 GRAM = 16
 SALTS = 64
 RUNS_AT_ONCE = 20_000
+HOT = 4096  # runs of a digit that one task resolves
+SMALL = 100_000  # hot digits that are broadcast, eight bytes each; more are joined by a shuffle
 SETTLED = LARGE_BLOCK  # bytes of text whose repeats are settled with each other before anything is shuffled
 
 
@@ -221,11 +226,62 @@ def covered_ranges(carried: DataFrame, width: int) -> DataFrame:
         if held and sum(b.num_rows for b in held):
             yield resolve(pa.Table.from_batches(held))
 
-    n = partitions(carried.sparkSession)
-    found = (carried.filter("span IS NOT NULL").select("digit", "doc_id", "text_hash", "start", "anchor", "span")
-             .repartition(n, "digit").sortWithinPartitions("digit")
+    runs = carried.filter("span IS NOT NULL").select("digit", "doc_id", "text_hash", "start", "anchor", "span")
+    hot = keep(runs.groupBy("digit").count().filter(F.col("count") > HOT).select("digit"), "hot")
+    covered, many = carried.filter("span IS NULL").select("doc_id", "text_hash", "start", "end"), hot.count()
+    if many:
+        side = F.broadcast(hot) if many <= SMALL else hot
+        covered = covered.unionByName(hot_ranges(runs.join(side, "digit", "left_semi"), width))
+        runs = runs.join(side, "digit", "left_anti")
+    found = (runs.repartition(partitions(carried.sparkSession), "digit").sortWithinPartitions("digit")
              .mapInArrow(run, "doc_id long, text_hash int, start long, end long"))
-    return found.unionByName(carried.filter("span IS NULL").select("doc_id", "text_hash", "start", "end"))
+    return found.unionByName(covered)
+
+
+def hot_ranges(runs: DataFrame, width: int) -> DataFrame:
+    """The ranges that ``covered_ranges`` gives, of digits with too many runs for a task."""
+    def settle(table: pa.Table):
+        spans = table.column("span").combine_chunks()
+        offsets = np.frombuffer(spans.buffers()[1], np.int32)[spans.offset:spans.offset + len(spans) + 1].astype(np.int64)
+        count = np.diff(offsets) - width + 1
+        row = np.repeat(np.arange(len(count)), count)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        data = np.frombuffer(spans.buffers()[2], np.uint8)
+        strings = np.lib.stride_tricks.sliding_window_view(data, width)[offsets[:-1][row] + step].view(f"V{width}").ravel()
+        found, first, group = np.unique(strings, return_index=True, return_inverse=True)
+        doc, text, start = (table.column(c).to_numpy() for c in ("doc_id", "text_hash", "start"))
+        who, kind, at = doc[row], text[row], start[row] + step
+        low = np.full(len(found), np.iinfo(np.int64).max)
+        np.minimum.at(low, group, who)
+        covered = who > low[group]
+        group = np.where(covered, -1, group)  # covered ones are listed by document, the others by string
+        order = np.lexsort((at, kind, who, group))
+        group, who, kind, at = group[order], who[order], kind[order], at[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (group[1:] != group[:-1]) | (who[1:] != who[:-1]) | (kind[1:] != kind[:-1])
+        edge = np.flatnonzero(new)
+        string = [None if g < 0 else found[g].tobytes() for g in group[edge].tolist()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(string, pa.binary()), pa.array(who[edge]), pa.array(kind[edge]),
+             pa.ListArray.from_arrays(pa.array(np.append(edge, len(order)), pa.int32()), pa.array(at))],
+            ["string", "doc_id", "text_hash", "starts"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= RUNS_AT_ONCE:
+                yield settle(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield settle(pa.Table.from_batches(held))
+
+    sent = keep(runs.mapInArrow(run, "string binary, doc_id long, text_hash int, starts array<long>"), "hot-suffixes")
+    late = (sent.filter("string IS NOT NULL").withColumn("low", F.min("doc_id").over(Window.partitionBy("string")))
+            .filter("doc_id > low").drop("low"))
+    return (sent.filter("string IS NULL").unionByName(late)
+            .select("doc_id", "text_hash", F.explode("starts").alias("start")).withColumn("end", F.col("start") + width))
 
 
 def repeated_ranges(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,7 +56,11 @@ def passages():
     return rows
 
 
-def test_suffix_dedup(spark, passages):
+@pytest.mark.parametrize("hot, small, at_once", [(4096, 100_000, 20_000), (0, 100_000, 20_000), (8, 0, 20), (2, 100_000, 1)])
+def test_suffix_dedup(spark, passages, monkeypatch, hot, small, at_once):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SMALL", small)
+    monkeypatch.setattr(suffix_dedup, "RUNS_AT_ONCE", at_once)
     docs = frame(spark, passages)
     ranges = suffix_dedup.repeated_ranges(docs, 50)
     got = sorted((tuple(r) for r in suffix_dedup.removal_digests(docs, ranges).collect()), key=str)
