@@ -10,8 +10,8 @@ documents are grouped by most-significant-digit passes, only as deep as ``width`
    anchor and then by eight bytes a pass. A group that has become one document's is dropped at once. After the last pass
    equal groups are exactly the repeated strings; all but those of the smallest id are covered.
 
-A digit of more than ``HOT`` runs isn't left to one task: its suffixes are shuffled and ordered by all their ``width`` bytes.
-Tasks settle what they hold first and send a string once, for its smallest document.
+A digit of more than ``HOT`` runs isn't left to one task: its suffixes are shuffled by a hash of all their ``width`` bytes.
+Tasks settle what they hold first and send a string for its smallest document only.
 
 Within a block of documents a run that repeats is sent once for its smallest id, and a digit that several documents of
 the block share is sent for two of them, so that frequent passages don't gather in one task.
@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.llm.runtime import drop_held, free_shuffles, keep, partitions, ship, spare_name
-from telemill.llm.words import LARGE_BLOCK, Hasher, blocks
+from telemill.llm.words import LARGE_BLOCK, Hasher, blocks, mix
 
 GRAM = 16
 SALTS = 64
 RUNS_AT_ONCE = 20_000
-HOT = 4096  # runs of a digit that one task resolves
+HOT = 1 << 15  # runs of a digit that one task resolves, in about 100 MB
 SMALL = 100_000  # hot digits that are broadcast, eight bytes each; more are joined by a shuffle
 SETTLED = LARGE_BLOCK  # bytes of text whose repeats are settled with each other before anything is shuffled
 
@@ -239,32 +239,36 @@ def covered_ranges(carried: DataFrame, width: int) -> DataFrame:
 
 
 def hot_ranges(runs: DataFrame, width: int) -> DataFrame:
-    """The ranges that ``covered_ranges`` gives, of digits with too many runs for a task."""
+    """The ranges that ``covered_ranges`` gives, of digits with too many runs for a task.
+
+    Strings are told apart by 96 bits: 64 of the string and 32 of its digit.
+    """
     def settle(table: pa.Table):
         spans = table.column("span").combine_chunks()
         offsets = np.frombuffer(spans.buffers()[1], np.int32)[spans.offset:spans.offset + len(spans) + 1].astype(np.int64)
+        data = np.frombuffer(spans.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
         count = np.diff(offsets) - width + 1
         row = np.repeat(np.arange(len(count)), count)
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        data = np.frombuffer(spans.buffers()[2], np.uint8)
-        strings = np.lib.stride_tricks.sliding_window_view(data, width)[offsets[:-1][row] + step].view(f"V{width}").ravel()
-        found, first, group = np.unique(strings, return_index=True, return_inverse=True)
-        doc, text, start = (table.column(c).to_numpy() for c in ("doc_id", "text_hash", "start"))
-        who, kind, at = doc[row], text[row], start[row] + step
-        low = np.full(len(found), np.iinfo(np.int64).max)
-        np.minimum.at(low, group, who)
-        covered = who > low[group]
-        group = np.where(covered, -1, group)  # covered ones are listed by document, the others by string
-        order = np.lexsort((at, kind, who, group))
-        group, who, kind, at = group[order], who[order], kind[order], at[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (group[1:] != group[:-1]) | (who[1:] != who[:-1]) | (kind[1:] != kind[:-1])
-        edge = np.flatnonzero(new)
-        string = [None if g < 0 else found[g].tobytes() for g in group[edge].tolist()]
+        digit, doc, text, start = (table.column(c).to_numpy() for c in ("digit", "doc_id", "text_hash", "start"))
+        key = Hasher(data).windows(width)[(offsets[:-1] - offsets[0])[row] + step]
+        also, who, at = digit[row].astype(np.int32), doc[row], start[row] + step
+        order = np.lexsort((who, also, key))
+        first = np.ones(len(order), bool)
+        first[1:] = (key[order][1:] != key[order][:-1]) | (also[order][1:] != also[order][:-1])
+        covered = np.zeros(len(order), bool)
+        covered[order] = who[order] > who[order][first][np.cumsum(first) - 1]
+        new, last = covered.copy(), covered.copy()
+        new[1:] &= ~covered[:-1] | (step[1:] == 0)
+        last[:-1] &= ~covered[1:] | (step[1:] == 0)
+        done, kept = np.flatnonzero(new), np.flatnonzero(~covered)
+        use = np.concatenate([done, kept])
+        spread = mix(at[done].astype(np.uint64) + mix(who[done].astype(np.uint64)))  # they need to meet no other row
         return pa.RecordBatch.from_arrays(
-            [pa.array(string, pa.binary()), pa.array(who[edge]), pa.array(kind[edge]),
-             pa.ListArray.from_arrays(pa.array(np.append(edge, len(order)), pa.int32()), pa.array(at))],
-            ["string", "doc_id", "text_hash", "starts"])
+            [pa.array(np.concatenate([spread, key[kept]]).view(np.int64)), pa.array(also[use]), pa.array(who[use]),
+             pa.array(text[row[use]]), pa.array(at[use]),
+             pa.array(np.concatenate([at[np.flatnonzero(last)], at[kept]]) + width),
+             pa.array(np.arange(len(use)) < len(done))], ["key", "also", "doc_id", "text_hash", "start", "end", "done"])
 
     def run(batches):
         held, rows = [], 0
@@ -277,11 +281,9 @@ def hot_ranges(runs: DataFrame, width: int) -> DataFrame:
         if rows:
             yield settle(pa.Table.from_batches(held))
 
-    sent = keep(runs.mapInArrow(run, "string binary, doc_id long, text_hash int, starts array<long>"), "hot-suffixes")
-    late = (sent.filter("string IS NOT NULL").withColumn("low", F.min("doc_id").over(Window.partitionBy("string")))
-            .filter("doc_id > low").drop("low"))
-    return (sent.filter("string IS NULL").unionByName(late)
-            .select("doc_id", "text_hash", F.explode("starts").alias("start")).withColumn("end", F.col("start") + width))
+    sent = runs.mapInArrow(run, "key long, also int, doc_id long, text_hash int, start long, end long, done boolean")
+    low = F.min(F.when(~F.col("done"), F.col("doc_id"))).over(Window.partitionBy("key", "also"))
+    return sent.withColumn("low", low).filter("done OR doc_id > low").select("doc_id", "text_hash", "start", "end")
 
 
 def repeated_ranges(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
