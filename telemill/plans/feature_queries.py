@@ -206,8 +206,11 @@ def match_subscriptions_many(t: Tables) -> DataFrame:
     masked = F.transform(levels, lambda x, i: F.when(F.call_function("getbit", mask, i) == 1, "+").otherwise(x))
     cut = F.concat(F.array_join(F.slice(masked, 1, (F.col("seq") % F.size(levels) + 1).cast("int")), "/"), F.lit("/#"))
     filters = deep.select(F.when(F.col("seq") % 2 == 0, F.array_join(masked, "/")).otherwise(cut).alias("filter"))
-    return subscriptions.match_subscriptions(deep, filters.distinct()).groupBy("seq").agg(
-        F.count("*").alias("filters"), F.min("filter").alias("first_filter"), F.max("filter").alias("last_filter"))
+    matched = subscriptions.match_subscriptions(deep, filters.distinct(), listed=True)
+    sizes = matched.select("seq", F.size("filters").alias("filters"), F.array_min("filters").alias("first_filter"),
+                           F.array_max("filters").alias("last_filter"))
+    return sizes.groupBy("seq").agg(F.coalesce(F.sum("filters"), F.lit(0)).alias("filters"),
+                                    F.min("first_filter").alias("first_filter"), F.max("last_filter").alias("last_filter"))
 
 
 @query("device_from_topic", """

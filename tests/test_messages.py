@@ -63,6 +63,31 @@ def test_many_shapes_and_odd_levels(spark):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+@pytest.mark.parametrize("wide", [1, 64])
+def test_many_filters_go_down_in_lists(spark, monkeypatch, wide):
+    """Beginnings of topics walk with lists of nodes: a row per message, not one per message and filter."""
+    monkeypatch.setattr(subscriptions, "SMALL", 10)
+    monkeypatch.setattr(subscriptions, "WIDE", wide)
+    rng = random.Random(11)
+    level = ["a", "b", "", "$SYS", "x+y"]
+    names = ["/".join(rng.choice([*level, "+", "#"]) for _ in range(rng.randint(1, 6))) for _ in range(80)] + ["a", "a", None, "z/z"]
+    filters = sorted({"/".join(rng.choice(["+", "+", *level]) for _ in range(rng.randint(1, 4)))
+                      + rng.choice(["", "/#"]) for _ in range(150)} | {"+", "a"})
+    df = spark.createDataFrame(list(enumerate(names)), "i INT, topic STRING")
+    table = subscriptions.filter_table(spark, [*filters, "a/b"]).union(spark.sql("SELECT CAST(NULL AS STRING)"))
+    filters = sorted({*filters, "a/b"})
+    expected = sorted((i, f) for i, name in enumerate(names) if name is not None for f in filters if python_match(name, f))
+    assert sorted((r.i, r.filter) for r in subscriptions.match_subscriptions(df, table).collect()) == expected
+    listed = subscriptions.match_subscriptions(df, table, listed=True)
+    assert listed.columns == ["i", "topic", "filters"]
+    rows = listed.collect()
+    assert len(rows) == len({i for i, _ in expected}) and sorted((r.i, f) for r in rows for f in r.filters) == expected
+    assert subscriptions.match_subscriptions(df, table.limit(0), listed=True).count() == 0
+    assert [r.filters for r in subscriptions.match_subscriptions(
+        df.where("i < 9 AND topic NOT LIKE '$%'"), subscriptions.filter_table(spark, ["#"]), listed=True).collect()] == [["#"]] * sum(
+        not n.startswith("$") for n in names[:9])
+
+
 def test_topic_filter_and_line_breaks(spark):
     df = spark.createDataFrame([("a/b\n",), ("a\nb",), ("a/b",)], "topic STRING")
     hits = lambda f: [r.m for r in df.select(topics.topic_matches(F.col("topic"), f).alias("m")).collect()]
