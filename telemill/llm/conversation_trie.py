@@ -16,13 +16,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.llm.runtime import discard, keep, partitions
+from telemill.llm.runtime import discard, free_shuffles, keep, partitions
 from telemill.operators.ordered import FIRST, Order, running_totals
 
 PIECE = 16_384  # conversation ids joined to one text at most, before texts are hashed one after the other
+FREE_AFTER = 3  # rounds, before the driver and the disk are relieved of what finished ones have left: broadcasts, plans, shuffles
 _SUMS = [f"_sum{i}" for i in range(4)]
 
 
@@ -109,8 +110,8 @@ def _split(forest: DataFrame, paths: DataFrame) -> DataFrame:
     that it belongs to.
     """
     heaviest = forest.groupBy("top", "top_depth", "depth").agg(F.max(F.struct("weight", "conv_id")).alias("most"))
-    totals = heaviest.where("depth = top_depth").select("top", "top_depth", F.col("most.weight").alias("total"))
-    centroids = (heaviest.join(totals, ["top", "top_depth"]).where("2 * most.weight > total")
+    total = F.first("most.weight").over(Window.partitionBy("top", "top_depth").orderBy("depth"))  # of a row per depth
+    centroids = (heaviest.withColumn("total", total).where("2 * most.weight > total")
                  .groupBy("top", "top_depth").agg(F.max(F.struct(
                      F.col("depth").alias("depth"), F.col("most.conv_id").alias("conv_id"),
                      F.col("most.weight").alias("weight"))).alias("centroid")))
@@ -142,28 +143,32 @@ def subtree_totals(nodes: DataFrame, paths: DataFrame, values: list[str]) -> Dat
         *[F.lit(0).cast("bigint").alias(f"{v}_cut") for v in values])
     columns, done, last = forest.columns, [], None
     while True:
+        if len(done) % FREE_AFTER == 0:
+            free_shuffles(nodes.sparkSession)
         split = keep(_split(forest, paths), "trie-round")
         if last is not None:
             discard(last)
         last = split
-        sums = split.where("place IN ('centroid', 'below')").groupBy("top", "top_depth").agg(
-            *[F.sum(v).alias(f"{v}_sum") for v in values])
-        line = split.where("place IN ('centroid', 'path')").join(sums, ["top", "top_depth"])
-        done.append(keep(line.where("place = 'centroid'").select(
-            "conv_id", "depth", *[(F.col(f"{v}_sum") + F.col(f"{v}_cut")).alias(v) for v in values]), "trie-done"))
-        rest = split.where("place <> 'centroid'")
-        if rest.isEmpty():
+
+        def of_centroid(name: str) -> Column:
+            return F.max(F.when(F.col("place") == "centroid", F.col(name)))
+
+        sums = keep(split.where("place IN ('centroid', 'below')").groupBy("top", "top_depth").agg(
+            of_centroid("conv_id").alias("conv_id"), of_centroid("depth").alias("depth"),
+            *[F.sum(v).alias(f"{v}_sum") for v in values],
+            *[(F.sum(v) + of_centroid(f"{v}_cut")).alias(v) for v in values]), "trie-done")
+        done.append(sums)
+        if split.where("place <> 'centroid'").isEmpty():
             break
-        above = line.where("place = 'path'").withColumns(
+        above = split.where("place = 'path'").join(
+            sums.select("top", "top_depth", *[f"{v}_sum" for v in values]), ["top", "top_depth"]).withColumns(
             {"weight": F.col("weight") - F.col("cut_weight"), **{f"{v}_cut": F.col(f"{v}_cut") + F.col(f"{v}_sum") for v in values}})
         below = split.where("place = 'below'").withColumns({"top": F.col("part"), "top_depth": F.col("cut_depth") + 1})
         forest = (split.where("place = 'beside'").select(columns).unionByName(below.select(columns))
                   .unionByName(above.select(columns)))
     discard(last)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    return nodes.sparkSession.read.schema(done[0].schema).parquet(*[part.kept_at for part in done]).select(
+        "conv_id", "depth", *values)
 
 
 def _ends_digests(ends: DataFrame) -> DataFrame:

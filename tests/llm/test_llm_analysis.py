@@ -205,6 +205,25 @@ def test_trie_equals_brute_force(spark, seed, max_rows):
     assert trie_rows(conversation_trie.prefix_trie(rebuilt, max_rows)) == brute_trie(rows, 100, 6)
 
 
+def test_trie_rounds_leave_little_behind(spark, monkeypatch):
+    """A round has three joins, two of them in its split, and what finished rounds have left is let go on the way."""
+    freed, joins, split = [], [], conversation_trie._split
+    monkeypatch.setattr(conversation_trie, "FREE_AFTER", 2)
+    monkeypatch.setattr(conversation_trie, "free_shuffles", lambda session: freed.append(session))
+
+    def watched(forest, paths):
+        found = split(forest, paths)
+        joins.append(found._jdf.queryExecution().optimizedPlan().toString().count("Join ") - forest._jdf.queryExecution()
+                     .optimizedPlan().toString().count("Join ") * 2)
+        return found
+
+    monkeypatch.setattr(conversation_trie, "_split", watched)
+    rows = [(c, t, "user", f"{c % 3}-{t}" if t < 3 else f"{c}-{t}") for c in range(1, 12) for t in range(9)]
+    assert trie_rows(conversation_trie.prefix_trie(conversation_trie.rebuild(conversations(spark, rows)))) == brute_trie(rows, 100, 6)
+    assert len(joins) > 2 and set(joins) == {2}
+    assert len(freed) == (len(joins) + 1) // 2
+
+
 def test_trie_edges(spark, monkeypatch):
     monkeypatch.setattr(conversation_trie, "PIECE", 3)
     rows = [(5, 0, "u", "alone")]  # its first h turns come from an absent conversation
